@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 #: Text bytes handled at once inside a Python task.
 CHUNK_BYTES = 4 << 20
+#: Narrow rows (a few numbers each) that may be broadcast; beyond, a join is a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,3 +110,8 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df of narrow rows, to be broadcast if it has BROADCAST_ROWS at most."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import small, stage_table
 
 CAPACITY, MAX_DEPTH = 65_536, 16
 
@@ -74,9 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns. Of repeated rows (same id, same normalised text) one stays."""
-    _, entries = build_index(docs, id_col, text_col)
-    stay = entries.select(F.col("keep_id").alias("_wg_id"), F.col("h").alias("_wg_k"))
-    rows = docs.withColumn("_wg_h", F.xxhash64(normalised(docs[text_col])))
-    on = rows[id_col].eqNullSafe(stay["_wg_id"]) & (rows["_wg_h"] == stay["_wg_k"])
-    return rows.join(stay, on, "left_semi").dropDuplicates([id_col, "_wg_h"]).drop("_wg_h")
+    """The rows of docs that stay, all columns. Repeated rows of the same id and text all stay if one does."""
+    groups = stage_table(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_wg_id"), F.unhex("text_sha256").alias("_wg_sha")).distinct(), "xh-dropped")
+    sha = F.unhex(F.sha2(normalised(docs[text_col]), 256))
+    return docs.join(small(groups, groups.count()), docs[id_col].eqNullSafe(groups["_wg_id"]) & (sha == groups["_wg_sha"]), "left_anti")

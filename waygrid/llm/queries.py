@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup
+from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, token_counts, warc
+from .common import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,9 +24,37 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")
+    return language_id.identify(rows, language_id.fit(docs), keep_text=False)
+
+
+def op7_byte_level_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark, sf_dir):
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op9_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_words", "kept")
+
+
+def op10_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_byte_level_bpe": op7_byte_level_bpe,
+    "op8_token_counts": op8_token_counts,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_warc": op10_warc,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,4 +89,17 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS
 FROM t WINDOW g AS (PARTITION BY norm)
 """
 
-ORACLE_SQL = {"op2_benchmark_decontamination": OP2, "op5_exact_dedup": OP5}
+OP10 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT *, sha1(encode(html)) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM p
+)
+SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM d
+"""
+
+ORACLE_SQL = {"op10_warc": OP10, "op2_benchmark_decontamination": OP2, "op5_exact_dedup": OP5}
