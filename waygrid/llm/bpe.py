@@ -10,9 +10,10 @@ O(n log n) for a pre-token of n bytes, so one of megabytes is no special case.
 from __future__ import annotations
 
 import base64
+import hashlib
 from heapq import heappop, heappush
+from itertools import accumulate
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -187,31 +188,31 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256.
 
-    Encoding and decoding in one pass: the ids themselves, several times the text's size as Spark rows, never leave the worker.
+    Encoding and decoding in one pass, so the ids need not leave the worker; keep_ids: they do, as a column ids array<int>.
     """
-    import hashlib
-
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     make = sender(docs, path, pattern)
-    schema = T.StructType([rows.schema["doc_id"], *DIGEST])
+    schema = T.StructType([rows.schema["doc_id"], *DIGEST, *[IDS] * keep_ids])
 
     def run(batches):
         c = make()
         text = [str(i) for i in range(max(c.bytes) + 1)].__getitem__
         for b in batches:
-            n, x, y = [], [], []
+            n, x, y, kept = [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t)
+                if keep_ids:
+                    kept.append(pa.array(ids, pa.int32()))
                 n.append(len(ids))
                 x.append(hashlib.sha256(" ".join(map(text, ids)).encode()).hexdigest())
                 y.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], names=schema.names)
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
-
-def ids_array(ids: list[int]) -> np.ndarray:
-    return np.fromiter(ids, np.int32, len(ids))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, token_counts, warc
+from . import bpe, decontamination, exact_dedup, html_text, language_id, line_dedup, near_dedup, token_counts, toxicity, warc
 from .common import held_out
 
 
@@ -20,6 +20,16 @@ def op2_benchmark_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")
+    return toxicity.score(rows, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep_text=False)
+
+
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup.document_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -49,6 +59,8 @@ def op10_warc(spark, sf_dir):
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_byte_level_bpe": op7_byte_level_bpe,
