@@ -1,10 +1,10 @@
-"""Queries by name, and the SQL that says the same for DuckDB."""
+"""All queries of the road graph, by operator, and the SQL that says the same for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import q_geo  # noqa: F401  registers its queries
+from .registry import ORACLE_SQL, QUERIES
 
+FLAGSHIP = QUERIES["geo01_haversine"]
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
