@@ -59,6 +59,6 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.when(F.col("user_id") % 2 == 0, "here").otherwise("tomtom").alias("provider_id"),
         F.when(kind == "error", "incident").when(kind == "purchase", "closure").when(kind == "signup", "restriction").otherwise("flow").alias("kind"),
         F.when(kind == "error", 1).when(kind == "signup", 2).otherwise(0).alias("layer"), (kind == "purchase").alias("closed"),
-        (F.col("event_id") % 5 != 0).alias("direction_resolved"), (F.floor(F.col("value") + 0.5) % 100).alias("confidence_pct"), F.col("ts").alias("freshness"), "edge_id",
+        (F.col("event_id") % 5 != 0).alias("direction_resolved"), (F.floor(F.col("value") + 0.5) % 100).alias("confidence_pct"), F.col("ts").cast("timestamp").alias("freshness"), "edge_id",
         (F.floor("value") % 130).alias("speed_kph"), (F.floor(F.col("value") * 7.0) % 900).alias("delay_s"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_geo  # noqa: F401  registers its queries
+from . import q_costing, q_geo, q_graph, q_scalar, q_traffic  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["geo01_haversine"]
