@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_costing, q_geo, q_graph, q_scalar, q_traffic  # noqa: F401  they register their queries
+from . import q_costing, q_geo, q_graph, q_route, q_scalar, q_stream, q_traffic  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = QUERIES["geo01_haversine"]
+FLAGSHIP = QUERIES["pth04_cheapest_path"]
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -150,7 +150,7 @@ def attributes(spark, d):
     return graph.edges(spark, d).select("*", (e % 64).cast("int").alias("access"), (F.floor(e / 3) % 8).cast("int").alias("surface"), (e % 17 == 0).alias("dest"), (e % 19 == 0).alias("unpaved"), (e % 23 == 0).alias("closed"), (F.floor(e / 5) % 256).cast("int").alias("forbidden"), (e % 8).cast("int").alias("local"), (F.col("opp_edge_id") % 5 == 0).alias("before_opp"))
 
 
-for _name, _bit in (("flt02_auto_allowed", 1), ("flt04_bus_allowed", 16), ("flt05_taxi_allowed", 32), ("flt06_truck_allowed", 8)):
+for _name, _bit in (("flt02_auto_allowed", 1), ("flt04_bus_allowed", 16), ("flt05_taxi_allowed", 4), ("flt06_truck_allowed", 8)):
 
     @query(_name, f"{ATTR} SELECT edge_id FROM atr WHERE access & {_bit} <> 0 AND NOT before_opp AND (forbidden >> local) & 1 = 0 AND surface <> 7 AND NOT dest AND NOT closed AND NOT unpaved")
     def _allowed(spark, d, bit=_bit):

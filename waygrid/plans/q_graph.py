@@ -204,9 +204,9 @@ def srt04(spark, d):
     return n.select("node_id", "tile", (F.row_number().over(Window.partitionBy("tile").orderBy("node_id")) - 1).cast("long").alias("idx"))
 
 
-@query("srt07_bin_sort", f"{GRAPH} SELECT density, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS edges FROM g_edge WHERE road_class=0 GROUP BY 1")
+@query("srt07_bin_sort", f"{GRAPH} SELECT density, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS edges FROM g_edge WHERE road_class=1 GROUP BY 1")
 def srt07(spark, d):
-    e = graph.edges(spark, d).where("road_class = 0").groupBy("density").agg(F.sort_array(F.collect_list("edge_id")).alias("ids"))
+    e = graph.edges(spark, d).where("road_class = 1").groupBy("density").agg(F.sort_array(F.collect_list("edge_id")).alias("ids"))
     return e.select("density", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("edges"))
 
 
@@ -298,10 +298,10 @@ def etl20(spark, d):
     return graph.table(spark, d, "part").select("p_partkey", etl.names_consistent(a, b).alias("consistent"))
 
 
-@query("etl21_edge_transitions", f"""{GRAPH} SELECT i.edge_id AS inbound, o.edge_id AS outbound, i.opp_edge_id = o.edge_id AS u_turn FROM g_edge i JOIN g_edge o ON o.from_node=i.to_node WHERE i.road_class=0 AND o.road_class=0""")
+@query("etl21_edge_transitions", f"""{GRAPH} SELECT i.edge_id AS inbound, o.edge_id AS outbound, i.opp_edge_id = o.edge_id AS u_turn FROM g_edge i JOIN g_edge o ON o.from_node=i.to_node WHERE i.road_class=1 AND o.road_class=1 AND i.edge_id%5=0""")
 def etl21(spark, d):
-    e = graph.edges(spark, d).where("road_class = 0")
-    i = e.select(F.col("edge_id").alias("inbound"), F.col("to_node").alias("n"), F.col("opp_edge_id").alias("o"))
+    e = graph.edges(spark, d).where("road_class = 1")
+    i = e.where("edge_id % 5 = 0").select(F.col("edge_id").alias("inbound"), F.col("to_node").alias("n"), F.col("opp_edge_id").alias("o"))
     return i.join(e.select(F.col("from_node").alias("n"), F.col("edge_id").alias("outbound")), "n").select("inbound", "outbound", (F.col("o") == F.col("outbound")).alias("u_turn"))
 
 

@@ -40,7 +40,7 @@ def snk09(spark, d):
     return graph.traffic(spark, d).select("event_id", raw.alias("raw"), congestion.alias("congestion"))
 
 
-@query("flt30_expired_events", f"""{FEED}, x AS (SELECT event_id, kind, epoch(freshness)::BIGINT + CASE kind WHEN 'flow' THEN 120 WHEN 'incident' THEN 300 ELSE 900 END AS until, (SELECT max(epoch(ts)::BIGINT) FROM events) AS now FROM g_traffic)
+@query("flt30_expired_events", f"""{FEED}, x AS (SELECT event_id, kind, CAST(floor(epoch(freshness)) AS BIGINT) + CASE kind WHEN 'flow' THEN 120 WHEN 'incident' THEN 300 ELSE 900 END AS until, (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) FROM events) AS now FROM g_traffic)
 SELECT kind, count(*) AS events, CAST(sum(CASE WHEN until <= now THEN 1 ELSE 0 END) AS BIGINT) AS expired FROM x GROUP BY kind""")
 def flt30(spark, d):
     t = graph.traffic(spark, d)
@@ -49,12 +49,12 @@ def flt30(spark, d):
     return t.crossJoin(F.broadcast(now)).groupBy("kind").agg(F.count(F.lit(1)).alias("events"), F.sum((until <= F.col("now")).cast("long")).alias("expired"))
 
 
-@query("str03_event_expiry", f"{FEED} SELECT event_id, epoch(freshness)::BIGINT + CASE kind WHEN 'flow' THEN 120 WHEN 'incident' THEN 300 ELSE 900 END AS expires FROM g_traffic")
+@query("str03_event_expiry", f"{FEED} SELECT event_id, CAST(floor(epoch(freshness)) AS BIGINT) + CASE kind WHEN 'flow' THEN 120 WHEN 'incident' THEN 300 ELSE 900 END AS expires FROM g_traffic")
 def str03(spark, d):
     return graph.traffic(spark, d).select("event_id", F.unix_seconds(traffic.expiry(F.lit(None).cast("timestamp"), "freshness", "kind")).alias("expires"))
 
 
-@query("agg20_snapshot_expiry", f"""{FEED}, x AS (SELECT provider_id, epoch(freshness)::BIGINT + CASE kind WHEN 'flow' THEN 120 WHEN 'incident' THEN 300 ELSE 900 END AS until, CAST((SELECT min(epoch(ts)::BIGINT) FROM events) AS BIGINT) + 86400 AS now FROM g_traffic)
+@query("agg20_snapshot_expiry", f"""{FEED}, x AS (SELECT provider_id, CAST(floor(epoch(freshness)) AS BIGINT) + CASE kind WHEN 'flow' THEN 120 WHEN 'incident' THEN 300 ELSE 900 END AS until, CAST((SELECT min(CAST(floor(epoch(ts)) AS BIGINT)) FROM events) AS BIGINT) + 86400 AS now FROM g_traffic)
 SELECT provider_id, coalesce(min(CASE WHEN until > now THEN until END), any_value(now)+120) AS expires FROM x GROUP BY provider_id""")
 def agg20(spark, d):
     t = graph.traffic(spark, d)
@@ -255,7 +255,7 @@ def jon28(spark, d):
     return routes(spark, d).select("route_id", "edge_id").join(graph.traffic(spark, d).select("edge_id", "provider_id"), "edge_id").select("route_id", "provider_id").distinct()
 
 
-@query("jon42_valid_at", """WITH x AS (SELECT event_id, event_type, epoch(ts)::BIGINT AS t FROM events) SELECT a.event_id, CAST(count(b.event_id) AS BIGINT) AS valid
+@query("jon42_valid_at", """WITH x AS (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) SELECT a.event_id, CAST(count(b.event_id) AS BIGINT) AS valid
 FROM x a JOIN x b ON b.event_type=a.event_type AND b.t <= a.t AND a.t < b.t + 600 GROUP BY a.event_id""")
 def jon42(spark, d):
     """Events of a kind that are valid (ten minutes from their time) at an event: equal-width time bins make it an equi-join."""
