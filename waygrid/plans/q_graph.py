@@ -321,3 +321,24 @@ tot AS (SELECT n.node_id, CAST(sum(l.m) AS BIGINT) AS m FROM cell n JOIN load l
 SELECT node_id, least(15, m//100000) AS density FROM tot""")
 def agg01(spark, d):
     return etl.node_density(graph.nodes(spark, d), graph.edges(spark, d))
+
+
+@query("etl39_service_calendar", """WITH s AS (SELECT CAST(c_custkey AS BIGINT) AS service_id, c_custkey % 128 AS mask, c_custkey % 30 AS a, c_custkey % 30 + 20 AS b FROM customer),
+r AS (SELECT service_id, k FROM s, range(60) t(k) WHERE k BETWEEN a AND b AND (mask >> CAST((dayofweek(DATE '2024-01-01' + CAST(k AS INT))+6) % 7 AS INT)) & 1 = 1 AND NOT (service_id%3=0 AND k=a) UNION SELECT service_id, 59 FROM s WHERE service_id%3=1),
+t AS (SELECT service_id, CAST(sum(1::BIGINT << CAST(k AS INT)) AS BIGINT) AS days FROM r GROUP BY 1) SELECT service_id, coalesce(days,0) AS days FROM s LEFT JOIN t USING (service_id)""")
+def etl39(spark, d):
+    from ..sources import gtfs
+
+    k, start = F.col("service_id"), F.lit("2024-01-01").cast("date")
+    s = graph.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("service_id"))
+    calendar = s.select("service_id", *[F.expr(f"shiftright(service_id % 128, {i})").bitwiseAND(1).alias(x) for i, x in enumerate(gtfs.DAYS)], F.date_add(start, (k % 30).cast("int")).alias("start_date"), F.date_add(start, (k % 30 + 20).cast("int")).alias("end_date"))
+    off = s.where(k % 3 == 0).select("service_id", F.date_add(start, (k % 30).cast("int")).alias("date"), F.lit(2).alias("exception_type"))
+    on = s.where(k % 3 == 1).select("service_id", F.date_add(start, 59).alias("date"), F.lit(1).alias("exception_type"))
+    return gtfs.service_bits(calendar, off.unionAll(on), "2024-01-01")
+
+
+@query("jon36_consecutive_stops", "WITH t AS (SELECT o_custkey AS trip, o_orderkey AS stop, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT a.trip, a.stop AS from_stop, b.stop AS to_stop FROM t a JOIN t b ON a.trip=b.trip AND b.n=a.n+1")
+def jon36(spark, d):
+    w = Window.partitionBy("trip").orderBy("from_stop")
+    o = graph.table(spark, d, "orders").select(F.col("o_custkey").alias("trip"), F.col("o_orderkey").alias("from_stop"))
+    return o.withColumn("to_stop", F.lead("from_stop").over(w)).where("to_stop is not null")
