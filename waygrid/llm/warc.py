@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, ship, stage_table
+from .common import new_path, ship, small, stage_table
 
 LEVEL, READ_BYTES = 4, 1 << 20
 _END = b"\r\n\r\n"
@@ -97,6 +97,11 @@ def _read(uri: str) -> Iterator[bytes]:
             yield piece
 
 
+def tasks(n: int) -> int:
+    """Tasks for n files: rows that name files are few bytes each, so their size says nothing of the work."""
+    return max(1, min(n, 20_000))
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """One gzip stream for each task that has rows. pages: page_id, url, html, digest, refers_to. Gives (file)."""
     ship(pages.sparkSession)
@@ -148,7 +153,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     def batch(name, index):
         return pa.RecordBatch.from_arrays([pa.array([name] * len(index), pa.string()), *(pa.array([x[k] for x in index], t) for k, t in ((3, pa.string()), (2, pa.string()), (0, pa.int64()), (1, pa.int64())))], names=["file", "record_id", "record_type", "offset", "length"])
 
-    return archives.repartition("file").mapInArrow(run, "file string, record_id string, record_type string, offset long, length long")
+    return archives.repartition(tasks(archives.count()), "file").mapInArrow(run, "file string, record_id string, record_type string, offset long, length long")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -192,11 +197,12 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     the smallest page_id are responses too.
     """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     first = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    both = rows.join(first, "sha", "left")
+    first = stage_table(first, "warc-repeated")
+    both = rows.join(small(first, first.count()), "sha", "left")
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return both.select("page_id", "url", "html", base32(F.col("sha")).alias("digest"), refers.alias("refers_to"))
+    return both.select("page_id", "url", "html", base32(F.hex("sha")).alias("digest"), refers.alias("refers_to"))
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -209,5 +215,5 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     index = stage_table(normalise(archives, new_path(spark, "warc")), "warc-index")
     kind = pages.schema[id_col].dataType
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("None")).cast(kind)
-    back = read_records(index.repartitionByRange("file", "offset")).drop("payload")
+    back = read_records(index.repartitionByRange(tasks(archives.count()), "file", "offset")).drop("payload")
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "url")
