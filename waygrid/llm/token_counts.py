@@ -71,7 +71,8 @@ def block_sums(token_files: DataFrame, separator: int = SEPARATOR, dtype: str =
     width = np.dtype(dtype).itemsize
     block_bytes -= block_bytes % width
     blocks = token_files.where("bytes > 0").select("file", "bytes", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {block_bytes})")).alias("block"))
-    spread = blocks.repartition("file", "block")
+    n = token_files.select(F.sum(F.ceil(F.col("bytes") / block_bytes))).first()[0] or 0
+    spread = blocks.repartition(max(1, min(n // 4, 20_000)), "file", "block")  # rows of few bytes, whose size says nothing of the work
 
     def run(batches):
         for b in batches:
