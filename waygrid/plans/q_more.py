@@ -132,15 +132,15 @@ def flt22(spark, d):
     return graph.edges(spark, d).where(~filters.layer_rejects(F.when(F.col("edge_id") % 4 != 0, F.col("edge_id") % 4), F.lit(2))).select("edge_id")
 
 
-@query("flt24_hierarchy_stop", f"{GRAPH} SELECT edge_id FROM g_edge WHERE edge_id%500 > 400 AND length_m > 5000")
+@query("flt24_hierarchy_stop", f"{GRAPH} SELECT edge_id FROM g_edge WHERE edge_id%500 > 10 AND length_m > 5000")
 def flt24(spark, d):
-    return graph.edges(spark, d).where(filters.stops_expanding(F.col("edge_id") % 500, "length_m", 400, 5000.0)).select("edge_id")
+    return graph.edges(spark, d).where(filters.stops_expanding(F.col("edge_id") % 500, "length_m", 10, 5000.0)).select("edge_id")
 
 
-@query("flt26_edges_connected", f"{GRAPH}, a AS (SELECT * FROM g_edge WHERE edge_id%40=0), b AS (SELECT * FROM g_edge WHERE edge_id%40=2) SELECT a.edge_id, count(DISTINCT b.edge_id) AS touching FROM a JOIN b ON a.to_node=b.from_node GROUP BY 1")
+@query("flt26_edges_connected", f"{GRAPH}, a AS (SELECT * FROM g_edge WHERE edge_id%40=0), b AS (SELECT * FROM g_edge WHERE edge_id%40=1) SELECT a.edge_id, count(DISTINCT b.edge_id) AS touching FROM a JOIN b ON a.to_node=b.from_node GROUP BY 1")
 def flt26(spark, d):
     e = graph.edges(spark, d)
-    b = e.where("edge_id % 40 = 2").select(F.col("from_node").alias("to_node"), F.col("edge_id").alias("other"))
+    b = e.where("edge_id % 40 = 1").select(F.col("from_node").alias("to_node"), F.col("edge_id").alias("other"))
     return e.where("edge_id % 40 = 0").join(b, "to_node").groupBy("edge_id").agg(F.countDistinct("other").alias("touching"))
 
 
@@ -185,10 +185,10 @@ def srt14(spark, d):
     return e.select("from_node", trip.sign_text(F.transform("s", lambda x: x.cast("string")), 4).alias("signs"))
 
 
-@query("set08_unused_tiles", f"{GRAPH}, t AS (SELECT node_id, CAST(floor(lat/0.05e0) AS BIGINT) AS r, CAST(floor(lon/0.05e0) AS BIGINT) AS c FROM g_node) SELECT DISTINCT r, c FROM t WHERE (r,c) NOT IN (SELECT r,c FROM t JOIN (SELECT from_node FROM g_edge WHERE road_class=1) e ON e.from_node=node_id)")
+@query("set08_unused_tiles", f"{GRAPH}, t AS (SELECT node_id, CAST(floor(lat/0.05e0) AS BIGINT) AS r, CAST(floor(lon/0.05e0) AS BIGINT) AS c FROM g_node) SELECT DISTINCT r, c FROM t WHERE (r,c) NOT IN (SELECT r,c FROM t JOIN (SELECT from_node FROM g_edge WHERE road_class=1 AND edge_id%50=0) e ON e.from_node=node_id)")
 def set08(spark, d):
     t = graph.nodes(spark, d).select("node_id", F.floor(F.col("lat") / 0.05).alias("r"), F.floor(F.col("lon") / 0.05).alias("c"))
-    used = t.join(graph.edges(spark, d).where("road_class = 1").select(F.col("from_node").alias("node_id")), "node_id", "left_semi").select("r", "c")
+    used = t.join(graph.edges(spark, d).where("road_class = 1 and edge_id % 50 = 0").select(F.col("from_node").alias("node_id")), "node_id", "left_semi").select("r", "c")
     return t.select("r", "c").distinct().join(used, ["r", "c"], "left_anti")
 
 
