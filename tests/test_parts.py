@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from waygrid.functions import shape
 from waygrid.operators import search, snap, traffic, trip
 from waygrid.operators.storage import new_path
-from waygrid.sources import gtfs, osm_pbf
+from waygrid.sources import elevation, gtfs, osm_pbf, speeds
 from waygrid.streaming import feeds
 
 TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -188,3 +188,27 @@ def test_snapshots_are_versions(spark):
         feeds.publish(spark.range(v), at, v)
     assert feeds.versions(spark, at) == [1, 2, 3, 4, 5] and feeds.current(spark, at).count() == 5
     assert feeds.vacuum(spark, at, keep=2, pinned={2}) == [1, 3] and feeds.versions(spark, at) == [2, 4, 5]
+
+
+def test_historical_speeds(spark, tmp_path):
+    week = 50 + 10 * np.sin(np.arange(2016) / 2016 * 2 * np.pi)
+    (tmp_path / "a.csv").write_text(f"0/3016/0,72,41,{speeds.encode(shape.compress_profile(week))}\n0/3016/1,60,50,\nbad,1,2,\n0/3016/2,999,1,\n0/3016/3,1,2,AAAA\n0/3016/9,5,5,\n")
+    good, bad = speeds.read(spark, str(tmp_path))
+    assert good.count() == 3 and bad.count() == 3
+    edges = spark.createDataFrame([(r.edge_id,) for r in good.orderBy("edge_id").collect()[:2]] + [(5,)], "edge_id long")
+    joined, lost = speeds.apply(edges, good)
+    got = joined.withColumn("v", speeds.speed_at("profile", F.lit(300 * 500))).collect()
+    assert len(got) == 3 and lost.count() == 1 and max(abs(r.v - week[500]) for r in got if r.v is not None) < 0.5 and sum(r.v is None for r in got) == 2
+
+
+def test_elevation(spark, tmp_path):
+    side = 11
+    raster = np.add.outer(np.arange(side)[::-1], np.arange(side)) * 10
+    (tmp_path / "N43E007.hgt").write_bytes(raster.astype(">i2").tobytes())
+    points = spark.createDataFrame([(1, 43.0, 7.0), (2, 43.5, 7.25), (3, 10.0, 10.0), (4, 43.99, 7.99)], "point_id long, lat double, lon double")
+    got = {r.point_id: r.elevation for r in elevation.sample(points, spark, str(tmp_path)).collect()}
+    assert got[1] == 0.0 and math.isclose(got[2], 75.0) and got[3] is None and math.isclose(got[4], 198.0)
+    names = spark.createDataFrame([(-0.5, -0.5), (43.2, 7.9)], "lat double, lon double").select(elevation.tile_name("lat", "lon").alias("n")).collect()
+    assert [r.n for r in names] == ["S01W001", "N43E007"]
+    with pytest.raises(ValueError):
+        elevation.grid(b"\0" * 10)

@@ -40,4 +40,4 @@ def test_query_equals_its_sql(spark, sf, db, name):
     names = [x[0] for x in found.description]
     assert sorted(names) == columns
     assert got == sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in found.fetchall())
-    assert got
+    assert got or name == "set07_difference"  # every customer of the smallest tables has an order
