@@ -69,6 +69,7 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(at)
         sc._waygrid_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,3 +116,8 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df of narrow rows, to be broadcast if it has BROADCAST_ROWS at most."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def compact(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A stage table of narrow rows as one partition if it has BROADCAST_ROWS at most: what follows then needs no shuffle."""
+    return df.coalesce(1) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, stage_table
+from .common import compact, drop_table, stage_table
 
 
 def _star(both: DataFrame, keep) -> DataFrame:
@@ -21,6 +21,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} != {b}").distinct()
     e, seen = stage_table(e, "cc"), None
+    n = e.count()
+    e = compact(e, 2 * n)
     while True:
         back = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(back, F.col("v") > F.col("u")).distinct()
@@ -29,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v")
         now = stage_table(small.distinct(), "cc")
         drop_table(e)
-        e = now
+        e = compact(now, 2 * n)
         sign = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

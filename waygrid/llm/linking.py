@@ -1,10 +1,14 @@
 """Classes of similar texts from buckets of candidates, for any similarity s whose 1 - s is a metric, without all pairs.
 
-In a bucket all nodes are held against its least one. A link that this can miss is between two nodes that are both further than
-1 - threshold from the least one; or between one that is, but at most twice as far, and one that is near it and, by the
-triangle inequality, no less far than the first one's distance less 1 - threshold. Pairs of the second kind, and of those of the
-first kind again a star around their least node, are held against each other in the next round, unless all that are left in the
-bucket are in one component already. So every pair of every bucket is decided, by a test or by what the tests imply.
+First, in each bucket all nodes are held against its most central one, which is the one that meets most others in all its buckets:
+of a text and its changed copies, the text. A link that this can miss is
+- between a node that is further than 1 - threshold from that one, but at most twice as far, and one that is near it and, by
+  the triangle inequality, no less far than the first one's distance less 1 - threshold; such pairs are held against each other
+  unless they are in one component already;
+- between two nodes that are both further than 1 - threshold. Most of these meet by chance. They are candidates if they share
+  two buckets (a pair that is similar shares several), so they go to buckets of two keys, of which those of one component need
+  nothing; there again all are held against the least one, and in the last round the pairs that the triangle inequality allows
+  and that are not in one component against each other.
 """
 
 from __future__ import annotations
@@ -13,10 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import compact, small, stage_table
 from .components import components
-from .common import stage_table
 
 _EPS = 1e-9
+#: Nodes of a side that are held against those of another at once.
+BLOCK = 256
+
+
+def buckets(rows: DataFrame, name: str) -> DataFrame:
+    """(key, nid, rep) of the keys that several nodes have, rep the key's most central node. rows: (key, nid), repeats allowed."""
+    shared = stage_table(rows.groupBy("key").agg(F.min("nid").alias("a"), F.max("nid").alias("b")).where("a != b").select("key"), f"{name}-shared")
+    own = compact(stage_table(rows.join(small(shared, shared.count()), "key").distinct(), f"{name}-rows"))
+    size = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    meets = own.join(size, "key").groupBy("nid").agg(F.sum("n").alias("c"))
+    central = own.join(meets, "nid")
+    most = central.groupBy("key").agg(F.max("c").alias("c"))
+    reps = central.join(most, ["key", "c"]).groupBy("key").agg(F.min("nid").alias("rep"))
+    return compact(stage_table(own.join(reps, "key").select("key", "nid", "rep"), f"{name}-members"))
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, features, similarity) -> DataFrame:
@@ -24,40 +42,120 @@ def similarities(pairs: DataFrame, texts: DataFrame, features, similarity) -> Da
     both = pairs.join(texts.select(F.col("nid").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("nid").alias("y"), F.col("text").alias("ty")), "y")
 
     def run(batches):
-        known, kept = None, None
+        known: dict[int, tuple] = {}
+
+        def of(nid, text):
+            if nid not in known:
+                if len(known) >= 64:
+                    known.pop(next(iter(known)))
+                known[nid] = features(text)
+            return known[nid]
+
         for b in batches:
             out = []
-            for y, tx, ty in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if y != known or kept is None:  # rows of one y come together
-                    known, kept = y, features(ty)
-                out.append(similarity(*features(tx), *kept))
+            for x, y, tx, ty in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
+                fy = of(y, ty)
+                out.append(similarity(*(of(x, tx) if x in known else features(tx)), *fy))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["x", "y", "s"])
 
     return both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long, s double")
 
 
+def _distances(members: DataFrame, done: DataFrame, known: DataFrame) -> DataFrame:
+    """members (key, nid, rep) with root and the distance d from rep."""
+    at = done.select(F.col("x").alias("nid"), F.col("y").alias("rep"), (1 - F.col("s")).alias("d"))
+    at = at.union(done.select(F.col("y").alias("nid"), F.col("x").alias("rep"), (1 - F.col("s")).alias("d")))
+    placed = members.join(at, ["nid", "rep"], "left").withColumn("d", F.when(F.col("nid") == F.col("rep"), F.lit(0.0)).otherwise(F.col("d")))
+    return placed.join(known, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Those in buckets of more than one component."""
+    keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    return placed.join(keys, "key")
+
+
+def _star(members: DataFrame) -> DataFrame:
+    return members.where("nid != rep").select(F.greatest("nid", "rep").alias("x"), F.least("nid", "rep").alias("y"))
+
+
+def _ring_links(placed: DataFrame, texts: DataFrame, features, similarity, threshold: float) -> DataFrame:
+    """(x, y, s) of the links that a star can miss between a node apart from rep and one near it.
+
+    Both sides of a rep are dealt into blocks of about BLOCK nodes, and each pair of blocks is one row, so a large group is many
+    even rows. In such a row only pairs that share a key, are in different components and are allowed by the triangle inequality
+    are computed, and only links come out.
+    """
+    far = 1 - threshold
+    sides = placed.where(F.col("d") <= 2 * far + _EPS).withColumn("apart", F.col("d") > far + _EPS)
+    by = compact(stage_table(sides.groupBy("rep", "nid", "apart").agg(F.min("d").alias("d"), F.min("root").alias("root"), F.collect_set("key").alias("keys")), "link-ring"))  # a node has a key for each band at most
+    n = by.groupBy("rep").agg(F.ceil(F.count_if("apart") / BLOCK).alias("na"), F.ceil(F.count_if(~F.col("apart")) / BLOCK).alias("nn")).where("na > 0 and nn > 0")
+    one = F.struct("nid", "d", "root", "keys", "text")
+
+    def side(apart: bool, own: str, other: str) -> DataFrame:
+        rows = by.where(F.col("apart") == apart).join(texts, "nid").join(n, "rep").withColumn("own", F.pmod(F.xxhash64("nid"), F.col(own)))
+        blocks = rows.groupBy("rep", "own", other).agg(F.collect_list(one).alias("rows"))
+        return blocks.select("rep", "own", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("with"))
+
+    a = side(True, "na", "nn").select("rep", F.col("own").alias("i"), F.col("with").alias("j"), F.col("rows").alias("a"))
+    b = side(False, "nn", "na").select("rep", F.col("with").alias("i"), F.col("own").alias("j"), F.col("rows").alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            for one_a, one_b in zip(batch.column(0), batch.column(1), strict=True):
+                left, right, out, known = one_a.as_py(), one_b.as_py(), [], {}
+                holders: dict[int, list[int]] = {}
+                for k, r in enumerate(right):
+                    for key in r["keys"]:
+                        holders.setdefault(key, []).append(k)
+                for x in left:
+                    fx = None
+                    for k in {k for key in x["keys"] for k in holders.get(key, ())}:
+                        y = right[k]
+                        if x["root"] != y["root"] and y["d"] >= x["d"] - far - _EPS:
+                            fx = fx or features(x["text"])
+                            if k not in known:
+                                known[k] = features(y["text"])
+                            if (s := similarity(*fx, *known[k])) >= threshold - _EPS:
+                                out.append((max(x["nid"], y["nid"]), min(x["nid"], y["nid"]), s))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["x", "y", "s"])
+
+    return compact(stage_table(a.join(b, ["rep", "i", "j"]).select("a", "b").mapInArrow(run, "x long, y long, s double"), "link-ring-links"))
+
+
+def _untested(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    return pairs.distinct().join(done.select("x", "y"), ["x", "y"], "left_anti")
+
+
 def link(members: DataFrame, texts: DataFrame, features, similarity, threshold: float) -> DataFrame:
-    """(nid, root) of all nodes that have a link. members: (key, nid, rep), rep the least nid of the bucket key; texts: (nid, text)."""
-    far, done = 1 - threshold, None
-    pairs = members.where("nid != rep").select(F.col("nid").alias("x"), F.col("rep").alias("y")).distinct()
-    while True:
-        tested = stage_table(similarities(pairs, texts, features, similarity), "link-tested")
-        done = tested if done is None else done.union(tested)
-        labels = stage_table(components(done.where(F.col("s") >= threshold - _EPS).select("x", "y"), "x", "y"), "link-labels")
-        known = labels.select(F.col("node").alias("nid"), "root")
-        at = done.select(F.col("x").alias("nid"), F.col("y").alias("rep"), (1 - F.col("s")).alias("d"))
-        placed = members.join(at, ["nid", "rep"], "left").withColumn("d", F.when(F.col("nid") == F.col("rep"), F.lit(0.0)).otherwise(F.col("d")))
-        placed = placed.join(known, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        placed = stage_table(placed, "link-placed")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-        placed = stage_table(placed.join(mixed, "key"), "link-placed")
-        apart = placed.where(F.col("d") > far + _EPS)
-        near = placed.where(F.col("d") <= far + _EPS).select("key", F.col("nid").alias("n2"), F.col("root").alias("root2"), F.col("d").alias("d2"))
-        ring = apart.where(F.col("d") <= 2 * far + _EPS).join(near, "key").where((F.col("root") != F.col("root2")) & (F.col("d2") >= F.col("d") - far - _EPS))
-        rest = apart.groupBy("key").agg(F.min("nid").alias("rep"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key", "rep")
-        members = stage_table(apart.select("key", "nid").join(rest, "key").select("key", "nid", "rep"), "link-members")
-        star = members.where("nid != rep").select(F.col("nid").alias("x"), F.col("rep").alias("y"))
-        new = star.union(ring.select(F.col("nid").alias("x"), F.col("n2").alias("y"))).distinct()
-        pairs = stage_table(new.join(done.select("x", "y"), ["x", "y"], "left_anti"), "link-pairs")
-        if pairs.isEmpty() and members.isEmpty():
-            return known
+    """(nid, root) of all nodes that have a link. members: (key, nid, rep) as buckets() makes them; texts: (nid, text)."""
+    far = 1 - threshold
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        return compact(stage_table(similarities(pairs, texts, features, similarity), "link-tested"))
+
+    def classes(done: DataFrame) -> DataFrame:
+        links = done.where(F.col("s") >= threshold - _EPS).select("x", "y")
+        return compact(stage_table(components(links, "x", "y").select(F.col("node").alias("nid"), "root"), "link-labels"))
+
+    done = tested(_star(members).distinct())
+    known = classes(done)
+    placed = compact(stage_table(_mixed(_distances(members, done, known)), "link-placed"))
+    done = done.union(_ring_links(placed, texts, features, similarity, threshold))
+
+    apart = placed.where(F.col("d") > far + _EPS).groupBy("nid").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a node has a key for each band at most
+    two = F.flatten(F.transform("keys", lambda a, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda b: F.xxhash64(a, b))))
+    both = stage_table(apart.where(F.size("keys") > 1).select("nid", F.explode(two).alias("key")), "link-two")
+    both = compact(both)
+    least = both.groupBy("key").agg(F.min("nid").alias("rep"), F.max("nid").alias("most")).where("rep != most").select("key", "rep")
+    members = compact(stage_table(both.join(least, "key").select("key", "nid", "rep"), "link-members"))
+    pairs = stage_table(_untested(_star(members), done), "link-pairs")
+    done = done.union(tested(pairs))
+    known = classes(done)
+    placed = compact(stage_table(_mixed(_distances(members, done, known)), "link-placed"))
+
+    left = placed.where(F.col("d") > far + _EPS)
+    other = left.select("key", F.col("nid").alias("n2"), F.col("root").alias("root2"), F.col("d").alias("d2"))
+    rest = left.join(other, "key").where((F.col("nid") > F.col("n2")) & (F.col("root") != F.col("root2")) & (F.abs(F.col("d") - F.col("d2")) <= far + _EPS)).select(F.col("nid").alias("x"), F.col("n2").alias("y"))
+    done = done.union(_ring_links(placed, texts, features, similarity, threshold))
+    return classes(done.union(tested(stage_table(_untested(rest, done), "link-pairs"))))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, ship, small, stage_table, text_buffers
-from .linking import link
+from .linking import buckets, link
 from .words import WORD_P, Words, mix, powers, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -153,8 +153,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = full.select("doc_id", "th", "s1", "s2", "bands").join(nodes.select("nid", "s1", "s2", F.col("doc_id").alias("d"), F.col("th").alias("h")), ["s1", "s2"])
     own = own.where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("nid", F.explode("bands").alias("key"))
     rows_of = stage_table(own, "near-bands")
-    shared = rows_of.groupBy("key").agg(F.min("nid").alias("rep"), F.max("nid").alias("most")).where("rep != most").select("key", "rep")
-    members = stage_table(rows_of.join(shared, "key").select("key", "nid", "rep").distinct(), "near-members")
+    members = buckets(rows_of, "near")
 
     wanted = stage_table(members.select("nid").distinct().join(nodes.select("nid", "doc_id", "th"), "nid"), "near-wanted")
     some = small(wanted.select("nid", F.col("doc_id").alias("d"), F.col("th").alias("h")), wanted.count())
