@@ -5,7 +5,7 @@ A line is compared in lower case with runs of white space made one space; blank
 the value, and empty bins copy from others by a fixed chain of hashes. Lines that share a band are candidates; linking.py computes
 the Jaccard similarity of their shingle sets from the texts and forms the components.
 
-A line is known by a 64-bit hash; a second one tells apart lines whose first collides: of such, one takes part in fuzzy links
+A line is known by a 64-bit hash of its characters in order; a second one, of its shingles, tells apart lines whose first collides: of such, one takes part in fuzzy links
 and each other is a component of its own.
 """
 
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, ship, small, stage_table
-from .linking import link
+from .common import ship, small, stage_table
+from .linking import buckets, link
 from .words import mix, powers
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -25,6 +25,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 5
 #: Lines whose signature a task need not compute again.
 SEEN = 200_000
+#: Characters handled at once: their arrays stay in the cache.
+CHUNK_CHARS = 1 << 18
 _U = np.uint64
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
@@ -39,36 +41,52 @@ def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U) + _U(1), ends
 
 
-def line_hashes(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each line; no line is empty."""
-    size = np.diff(ends)
-    place = np.arange(len(codes)) - np.repeat(ends[:-1], size)
-    out = []
-    for p in (_P, _Q):
-        out.append(mix(np.add.reduceat(mix(codes * p) * powers(p, int(size.max()))[place], ends[:-1]) + size.astype(_U)))
-    return out[0], out[1]
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(p: np.uint64, n: int) -> np.ndarray:
+    if int(p) not in _POWERS or len(_POWERS[int(p)]) < n:
+        _POWERS[int(p)] = powers(p, max(n, 1 << 22))
+    return _POWERS[int(p)][:n]
+
+
+def line_hashes(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each line; no line is empty. One run of powers serves all lines, taken back by the inverse power at each start."""
+    inverse = _U(pow(int(_P), -1, 1 << 64))
+    sums = np.add.reduceat(codes * _powers(_P, len(codes)), ends[:-1])
+    return mix(sums * _powers(inverse, int(ends[-1]) + 1)[ends[:-1]] + np.diff(ends).astype(_U))
 
 
 def shingle_hashes(codes: np.ndarray, ends: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every shingle, repeats included, in the order of lines."""
+    """(line, hash) of every shingle, repeats included, in the order of lines. A line of fewer than n characters is one shingle."""
     size = np.diff(ends)
-    count = np.maximum(size - n + 1, 1)
-    line = np.repeat(np.arange(len(size)), count)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[:-1], count)
-    left = np.repeat(np.minimum(size, n), count)
-    h = np.zeros(len(line), _U)
-    padded = np.concatenate([codes, np.zeros(n, _U)])
-    for j in range(n):
-        h = h * _P + np.where(j < left, padded[at + j], _U(0))
-    return line, mix(h)
+    short = np.flatnonzero(size < n)
+    if len(short):  # lengthened by zeros, which no character is
+        longer = np.maximum(size, n)
+        at = np.cumsum(longer) - longer
+        wide = np.zeros(int(longer.sum()), _U)
+        wide[np.arange(len(codes)) + np.repeat(at - ends[:-1], size)] = codes
+        codes, ends, size = wide, np.concatenate([at, [len(wide)]]), longer
+    m = len(codes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    h = codes[:m] + _U(0)
+    for j in range(1, n):
+        h *= _P
+        h += codes[j : j + m]
+    inside = np.ones(m, bool)
+    for k in range(1, n):
+        inside[ends[1:-1] - k] = False
+    return np.repeat(np.arange(len(size)), size - n + 1), mix(h[inside])
 
 
 def signatures(line: np.ndarray, h: np.ndarray, n_lines: int, m: int) -> np.ndarray:
     """One-permutation MinHash [n_lines, m], bins without a shingle filled from others."""
-    none = _U(0xFFFFFFFFFFFFFFFF)
-    z = np.full(n_lines * m, none, dtype=_U)
-    at = line * m + (((h >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
-    np.minimum.at(z, at, mix(h) >> _U(1))
+    none = np.uint32(0xFFFFFFFF)
+    z = np.full(n_lines * m, none, dtype=np.uint32)
+    at = line * m
+    at += (((h >> _U(32)) * _U(m)) >> _U(32)).view(np.int64)
+    np.minimum.at(z, at, (h & _U(0x7FFFFFFF)).astype(np.uint32))
     empty, t, full = np.flatnonzero(z == none), 0, z.copy()
     while len(empty):
         t += 1
@@ -83,7 +101,7 @@ def band_keys(z: np.ndarray, bands: int, rows: int) -> np.ndarray:
     z = z.reshape(len(z), bands, rows)
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=_U) * _Q, z.shape[:2]).copy()
     for j in range(rows):
-        out = mix(out ^ z[:, :, j])
+        out = mix(out ^ z[:, :, j].astype(_U))
     return out
 
 
@@ -109,21 +127,22 @@ def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
         def made(b, texts, at, numbers):
             codes, ends = _codes(texts)
-            h1, h2 = line_hashes(codes, ends)
+            h1 = line_hashes(codes, ends)
+            line, h = shingle_hashes(codes, ends)
+            h2 = np.add.reduceat(mix(h ^ _Q), np.flatnonzero(np.diff(line, prepend=-1)))
             if len(seen) > SEEN:
                 seen.clear()
             fresh = []
-            for k, h in enumerate(h1.tolist()):
-                if h not in seen:
-                    seen.add(h)
+            for k, known in enumerate(h1.tolist()):
+                if known not in seen:
+                    seen.add(known)
                     fresh.append(k)
             new = np.zeros(len(texts), bool)
             new[fresh] = True
-            keep = np.repeat(new, np.diff(ends))
             keys = np.zeros(0, np.int64)
             if fresh:
-                sub = np.concatenate(([0], np.cumsum(np.diff(ends)[new])))
-                keys = band_keys(signatures(*shingle_hashes(codes[keep], sub), len(fresh), bands * rows), bands, rows).ravel().view(np.int64)
+                own = new[line]
+                keys = band_keys(signatures((np.cumsum(new) - 1)[line[own]], h[own], len(fresh), bands * rows), bands, rows).ravel().view(np.int64)
             ends = np.concatenate(([0], np.cumsum(new) * bands))
             offsets = pa.array(ends, pa.int32(), mask=np.append(~new, False))
             rows_at = pa.array(at, pa.int64())
@@ -138,7 +157,7 @@ def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         at.append(k)
                         numbers.append(n)
                         size += len(x)
-                        if size > CHUNK_BYTES // 2:
+                        if size > CHUNK_CHARS:
                             yield made(b, texts, at, numbers)
                             texts, at, numbers, size = [], [], [], 0
             if texts:
@@ -159,9 +178,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = stage_table(_lines(plain, bands, rows), "lines")
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "th")
     banded = lines.where("bands is not null").select("h1", F.explode("bands").alias("key"))
-    shared = stage_table(banded.groupBy("key").agg(F.min("h1").alias("rep"), F.max("h1").alias("most")).where("rep != most").select("key", "rep"), "line-shared")
-    members = banded.withColumnRenamed("h1", "nid").join(small(shared, shared.count()), "key").select("key", "nid", "rep").distinct()
-    members = stage_table(members, "line-members")
+    members = buckets(banded.withColumnRenamed("h1", "nid"), "line")
 
     wanted = members.select(F.col("nid").alias("h1")).distinct()
     firsts = lines.join(wanted, "h1").groupBy("h1").agg(F.min(F.struct("h2", *[where[x].alias(x) for x in ("no_id", "doc_id", "line_no", "th")])).alias("k"))
