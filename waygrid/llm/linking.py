@@ -5,10 +5,11 @@ of a text and its changed copies, the text. A link that this can miss is
 - between a node that is further than 1 - threshold from that one, but at most twice as far, and one that is near it and, by
   the triangle inequality, no less far than the first one's distance less 1 - threshold; such pairs are held against each other
   unless they are in one component already;
-- between two nodes that are both further than 1 - threshold. Most of these meet by chance. They are candidates if they share
-  two buckets (a pair that is similar shares several), so they go to buckets of two keys, of which those of one component need
-  nothing; there again all are held against the least one, and in the last round the pairs that the triangle inequality allows
-  and that are not in one component against each other.
+- between two nodes that are both further than 1 - threshold. These elect a most central one among themselves, in each bucket, and
+  are held against it in the same two ways. Those that are far from that one too are held against each other, in blocks, unless
+  the triangle inequality forbids a link or they are in one component already.
+
+So every pair that shares a bucket and has s >= threshold is in one class; sharing one bucket is enough.
 """
 
 from __future__ import annotations
@@ -29,12 +30,17 @@ def buckets(rows: DataFrame, name: str) -> DataFrame:
     """(key, nid, rep) of the keys that several nodes have, rep the key's most central node. rows: (key, nid), repeats allowed."""
     shared = stage_table(rows.groupBy("key").agg(F.min("nid").alias("a"), F.max("nid").alias("b")).where("a != b").select("key"), f"{name}-shared")
     own = compact(stage_table(rows.join(small(shared, shared.count()), "key").distinct(), f"{name}-rows"))
+    return compact(stage_table(_central(own), f"{name}-members"))
+
+
+def _central(own: DataFrame) -> DataFrame:
+    """own (key, nid) with rep, the key's node that meets most others in all its buckets."""
     size = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     meets = own.join(size, "key").groupBy("nid").agg(F.sum("n").alias("c"))
     central = own.join(meets, "nid")
     most = central.groupBy("key").agg(F.max("c").alias("c"))
     reps = central.join(most, ["key", "c"]).groupBy("key").agg(F.min("nid").alias("rep"))
-    return compact(stage_table(own.join(reps, "key").select("key", "nid", "rep"), f"{name}-members"))
+    return own.join(reps, "key").select("key", "nid", "rep")
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, features, similarity) -> DataFrame:
@@ -64,7 +70,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, features, similarity) -> Da
 def _distances(members: DataFrame, done: DataFrame, known: DataFrame) -> DataFrame:
     """members (key, nid, rep) with root and the distance d from rep."""
     at = done.select(F.col("x").alias("nid"), F.col("y").alias("rep"), (1 - F.col("s")).alias("d"))
-    at = at.union(done.select(F.col("y").alias("nid"), F.col("x").alias("rep"), (1 - F.col("s")).alias("d")))
+    at = at.union(done.select(F.col("y").alias("nid"), F.col("x").alias("rep"), (1 - F.col("s")).alias("d"))).distinct()
     placed = members.join(at, ["nid", "rep"], "left").withColumn("d", F.when(F.col("nid") == F.col("rep"), F.lit(0.0)).otherwise(F.col("d")))
     return placed.join(known, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
 
@@ -123,6 +129,56 @@ def _ring_links(placed: DataFrame, texts: DataFrame, features, similarity, thres
     return compact(stage_table(a.join(b, ["rep", "i", "j"]).select("a", "b").mapInArrow(run, "x long, y long, s double"), "link-ring-links"))
 
 
+def _rest_links(rest: DataFrame, texts: DataFrame, features, similarity, threshold: float) -> DataFrame:
+    """(x, y, s) of links between any two nodes of a key, of rest (key, nid, d, root).
+
+    Each key's nodes are dealt into blocks of about BLOCK, and each pair of blocks is one row. A pair is computed in the least key
+    it shares, if its components differ, links found in the row included, and the triangle inequality allows a link.
+    """
+    far = 1 - threshold
+    rest = compact(stage_table(rest.select("key", "nid", "d", "root").distinct(), "link-rest"))
+    keys = rest.groupBy("nid").agg(F.collect_set("key").alias("keys"))  # a node has a key for each band at most
+    n = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    rows = rest.join(keys, "nid").join(n, "key").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("n"))).join(texts, "nid")
+    blocks = rows.groupBy("key", "own", "n").agg(F.collect_list(F.struct("nid", "d", "root", "keys", "text")).alias("rows"))
+    a = blocks.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("j"), F.col("rows").alias("a"))
+    b = blocks.where("own > 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.col("rows").alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            for one_key, one_a, one_b in zip(*batch.columns[:3], strict=True):
+                key, left, right, out, known, up = one_key.as_py(), one_a.as_py(), one_b.as_py(), [], {}, {}
+                same = right is None
+                left.sort(key=lambda r: r["d"])
+                right = left if same else sorted(right, key=lambda r: r["d"])
+                for r in left if same else left + right:
+                    r["keys"] = frozenset(r["keys"])
+
+                def top(r):
+                    while r in up:
+                        r = up[r]
+                    return r
+
+                def of(r):
+                    if r["nid"] not in known:
+                        known[r["nid"]] = features(r["text"])
+                    return known[r["nid"]]
+
+                start = 0
+                for k, x in enumerate(left):
+                    while start < len(right) and right[start]["d"] < x["d"] - far - _EPS:
+                        start += 1
+                    for y in right[k + 1 if same else start :]:
+                        if y["d"] > x["d"] + far + _EPS:
+                            break
+                        if (rx := top(x["root"])) != (ry := top(y["root"])) and min(x["keys"] & y["keys"]) == key and (s := similarity(*of(x), *of(y))) >= threshold - _EPS:
+                            out.append((max(x["nid"], y["nid"]), min(x["nid"], y["nid"]), s))
+                            up[rx] = ry
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["x", "y", "s"])
+
+    return compact(stage_table(a.join(b, ["key", "i", "j"], "left").select("key", "a", "b").mapInArrow(run, "x long, y long, s double"), "link-rest-links"))
+
+
 def _untested(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return pairs.distinct().join(done.select("x", "y"), ["x", "y"], "left_anti")
 
@@ -143,19 +199,12 @@ def link(members: DataFrame, texts: DataFrame, features, similarity, threshold:
     placed = compact(stage_table(_mixed(_distances(members, done, known)), "link-placed"))
     done = done.union(_ring_links(placed, texts, features, similarity, threshold))
 
-    apart = placed.where(F.col("d") > far + _EPS).groupBy("nid").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a node has a key for each band at most
-    two = F.flatten(F.transform("keys", lambda a, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda b: F.xxhash64(a, b))))
-    both = stage_table(apart.where(F.size("keys") > 1).select("nid", F.explode(two).alias("key")), "link-two")
-    both = compact(both)
-    least = both.groupBy("key").agg(F.min("nid").alias("rep"), F.max("nid").alias("most")).where("rep != most").select("key", "rep")
-    members = compact(stage_table(both.join(least, "key").select("key", "nid", "rep"), "link-members"))
+    own = compact(stage_table(_mixed(placed.where(F.col("d") > far + _EPS)).select("key", "nid").distinct(), "link-apart"))
+    members = compact(stage_table(_central(own), "link-members"))
     pairs = stage_table(_untested(_star(members), done), "link-pairs")
     done = done.union(tested(pairs))
     known = classes(done)
     placed = compact(stage_table(_mixed(_distances(members, done, known)), "link-placed"))
-
-    left = placed.where(F.col("d") > far + _EPS)
-    other = left.select("key", F.col("nid").alias("n2"), F.col("root").alias("root2"), F.col("d").alias("d2"))
-    rest = left.join(other, "key").where((F.col("nid") > F.col("n2")) & (F.col("root") != F.col("root2")) & (F.abs(F.col("d") - F.col("d2")) <= far + _EPS)).select(F.col("nid").alias("x"), F.col("n2").alias("y"))
     done = done.union(_ring_links(placed, texts, features, similarity, threshold))
-    return classes(done.union(tested(stage_table(_untested(rest, done), "link-pairs"))))
+    rest = _mixed(placed.where(F.col("d") > far + _EPS))
+    return classes(done.union(_rest_links(rest, texts, features, similarity, threshold)))
