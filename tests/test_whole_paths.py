@@ -1,0 +1,39 @@
+"""The path queries over all origins against Dijkstra on the smallest tables."""
+
+import heapq
+
+from waygrid.plans import whole_paths
+from waygrid.plans.q_route import costed
+
+
+def dijkstra(out, s):
+    best, todo = {}, [(0, s)]
+    while todo:
+        c, n = heapq.heappop(todo)
+        if n not in best:
+            best[n] = c
+            for m, more in out.get(n, ()):
+                heapq.heappush(todo, (c + more, m))
+    return best
+
+
+def brute(edges, queries):
+    out = {}
+    for r in edges:
+        out.setdefault(r.from_node, []).append((r.to_node, r.cost))
+    return {q.query_id: b[q.destination] for q in queries if q.destination in (b := dijkstra(out, q.origin))}
+
+
+def test_every_origin_is_answered_and_equals_dijkstra(spark, sf):
+    edges, queries = costed(spark, sf).collect(), whole_paths.queries(spark, sf).collect()
+    want = brute(edges, queries)
+    got = {r.query_id: r for r in whole_paths.paths(spark, sf).collect()}
+    assert {q: r.cost for q, r in got.items()} == want and len(want) > 12
+    print("answered", len(got), "of", len(queries), "longest", max(len(r.path) for r in got.values()))
+
+
+def test_retry_answers_by_the_strict_graph_first(spark, sf):
+    edges, queries = costed(spark, sf).collect(), whole_paths.queries(spark, sf).collect()
+    strict = brute([r for r in edges if r.toll == 0], queries)
+    want = brute(edges, queries) | strict
+    assert {r.query_id: r.cost for r in whole_paths.pth18(spark, sf).collect()} == want

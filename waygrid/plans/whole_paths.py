@@ -1,0 +1,70 @@
+"""Path queries over all origins with the operator's own bound on edges. No SQL: layers of joins cannot say them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import graph, search
+from .q_route import costed
+
+
+def queries(spark, d):
+    n = F.col("node_id")
+    return graph.nodes(spark, d).select(n.alias("query_id"), n.alias("origin"), (1_000_000 + n * 7 % 10).alias("destination"))
+
+
+def answerable(q, e):
+    """q without those whose destination no edge enters: each would search the whole graph for nothing."""
+    return q.join(e.select(F.col("to_node").alias("destination")).distinct(), "destination", "left_semi").unionByName(q.where("origin = destination")).distinct()
+
+
+def paths(spark, d):
+    e = costed(spark, d)
+    return search.cheapest_paths(answerable(queries(spark, d), e), e)
+
+
+def pth04(spark, d):
+    return paths(spark, d).select("query_id", "cost")
+
+
+def pth06(spark, d):
+    rows = search.path_edges(paths(spark, d), costed(spark, d))
+    joined = F.lag("to_node").over(Window.partitionBy("query_id").orderBy("seq"))
+    rows = rows.withColumn("joined", F.coalesce(joined == F.col("from_node"), F.lit(True)))
+    return rows.groupBy("query_id").agg(F.max("elapsed").alias("elapsed"), F.bool_and("joined").alias("connected"))
+
+
+def pth15(spark, d):
+    return search.recost(paths(spark, d), costed(spark, d))
+
+
+def pth05(spark, d):
+    return search.seeds(queries(spark, d), costed(spark, d)).select("query_id", "edge_id", "cost")
+
+
+def pth08(spark, d):
+    e, q = costed(spark, d), queries(spark, d)
+    f = q.join(e, e["from_node"] == q["origin"]).select("query_id", "edge_id", "opp_edge_id", "cost")
+    b = q.join(e, e["to_node"] == q["destination"]).select("query_id", F.col("opp_edge_id").alias("edge_id"), "cost")
+    return search.meet(f, b).select("query_id", "cost")
+
+
+def pth18(spark, d):
+    """Queries that the graph without tolls cannot answer are run again on the whole graph."""
+    e, q = costed(spark, d), queries(spark, d)
+    strict = e.where("toll = 0")
+    first = search.cheapest_paths(answerable(q, strict), strict).select("query_id", "cost")
+    failed = q.join(first, "query_id", "left_anti")
+    return first.unionAll(search.cheapest_paths(answerable(failed, e), e).select("query_id", "cost"))
+
+
+def pth25(spark, d):
+    same = queries(spark, d).withColumn("destination", F.col("origin"))
+    return search.cheapest_paths(same, costed(spark, d)).select("query_id", "cost")
+
+
+QUERIES = {
+    "pth04_cheapest_path_whole": pth04, "pth05_seeds_whole": pth05, "pth06_form_path_whole": pth06, "pth08_bidirectional_meet_whole": pth08,
+    "pth15_recost_whole": pth15, "pth18_retry_failed_whole": pth18, "pth25_trivial_queries_whole": pth25,
+}
