@@ -1,0 +1,43 @@
+"""Queries that run an operator over all edges where the query of its id, held by its SQL, takes a slice of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import shape
+from ..operators import graph
+from .q_geo import ENDS, ends
+from .registry import GRAPH, query
+
+
+@query("prj14_polyline_round_trip_whole", f"{ENDS} SELECT edge_id, floor(lat1*1e6+0.5e0)/1e6 AS lat, -(floor(-lon2*1e6+0.5e0)/1e6) AS lon FROM e")
+def prj14(spark, d):
+    p = lambda i: F.struct(F.col(f"lat{i}").alias("lat"), F.col(f"lon{i}").alias("lon"))
+    e = ends(spark, d).select("edge_id", shape.polyline_shape(shape.polyline_text(F.array(p(1), p(2)))).alias("s"))
+    return e.select("edge_id", F.col("s")[0]["lat"].alias("lat"), F.col("s")[1]["lon"].alias("lon"))
+
+
+def _leaving(e):
+    """(to_node, n): edges that leave a node, which is where others arrive."""
+    return e.groupBy(F.col("from_node").alias("to_node")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("trp04_intersecting_edges_whole", f"{GRAPH} SELECT p.edge_id, count(o.edge_id) AS others FROM g_edge p LEFT JOIN g_edge o ON o.from_node=p.to_node AND o.edge_id<>p.opp_edge_id GROUP BY 1")
+def trp04(spark, d):
+    e = graph.edges(spark, d)
+    back = e.select(F.col("edge_id").alias("opp_edge_id"), F.col("from_node").alias("to_node"), F.lit(1).alias("back"))
+    rows = e.select("edge_id", "opp_edge_id", "to_node").join(_leaving(e), "to_node", "left").join(back, ["opp_edge_id", "to_node"], "left")
+    return rows.select("edge_id", (F.coalesce("n", F.lit(0)) - F.coalesce("back", F.lit(0))).cast("long").alias("others"))
+
+
+@query("etl21_edge_transitions_whole", f"{GRAPH} SELECT i.edge_id AS inbound, o.edge_id AS outbound, i.opp_edge_id = o.edge_id AS u_turn FROM g_edge i JOIN g_edge o ON o.from_node=i.to_node")
+def etl21(spark, d):
+    e = graph.edges(spark, d)
+    i = e.select(F.col("edge_id").alias("inbound"), F.col("to_node").alias("n"), F.col("opp_edge_id").alias("o"))
+    return i.join(e.select(F.col("from_node").alias("n"), F.col("edge_id").alias("outbound")), "n").select("inbound", "outbound", (F.col("o") == F.col("outbound")).alias("u_turn"))
+
+
+@query("flt26_edges_connected_whole", f"{GRAPH} SELECT a.edge_id, count(DISTINCT b.edge_id) AS touching FROM g_edge a JOIN g_edge b ON a.to_node=b.from_node GROUP BY 1")
+def flt26(spark, d):
+    e = graph.edges(spark, d)
+    return e.join(_leaving(e), "to_node").select("edge_id", F.col("n").alias("touching"))
