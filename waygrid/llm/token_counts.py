@@ -21,6 +21,8 @@ from .common import new_path, stage_table
 
 SEPARATOR = 50_256
 FILE_BYTES, BLOCK_BYTES, SUPER = 64 << 20, 1 << 20, 1024
+#: Blocks of a task: a search takes milliseconds.
+TASK_BLOCKS = 16
 
 
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, dtype: str = "<u2", path: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -33,23 +35,23 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        c, out, name, size, n = make(), None, "", 0, 0
+        out, name, size, n = None, "", 0, 0
         arrow = None
 
         def closed():
             out.close()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int64()), pa.array([None], arrow), pa.array([size], pa.int64())], names=["file", "ordinal", "doc_id", "bytes"])
 
-        for b in batches:
+        for b, found in bpe.encoded(make(), batches, "text"):
             arrow = b.schema.field(0).type
             at: list[int] = []
             ids = b.column(0)
             done = 0
-            for k, t in enumerate(b.column(1).to_pylist()):
+            for k, own in enumerate(found):
                 if out is None:
                     name, size, n = f"{folder}/{uuid.uuid4().hex}.bin", 0, 0
                     out = files.create(name)
-                raw = np.array([*c.encode(t), separator], dtype=dtype).tobytes()
+                raw = np.append(own, separator).astype(dtype).tobytes()
                 out.write(raw)
                 at.append(n)
                 size, n = size + len(raw), n + 1
@@ -72,7 +74,7 @@ def block_sums(token_files: DataFrame, separator: int = SEPARATOR, dtype: str =
     block_bytes -= block_bytes % width
     blocks = token_files.where("bytes > 0").select("file", "bytes", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {block_bytes})")).alias("block"))
     n = token_files.select(F.sum(F.ceil(F.col("bytes") / block_bytes))).first()[0] or 0
-    spread = blocks.repartition(max(1, min(n // 4, 20_000)), "file", "block")  # rows of few bytes, whose size says nothing of the work
+    spread = blocks.repartition(max(1, min(n // TASK_BLOCKS, 20_000)), "file", "block")  # rows of few bytes, whose size says nothing of the work
 
     def run(batches):
         for b in batches:
