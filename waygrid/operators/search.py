@@ -1,8 +1,12 @@
-"""Path search for batches of queries: label correcting on edges, one join with the edge table for each round.
+"""Path search for batches of queries, one join with the edge table for each round.
 
-A label is the cheapest known way to have driven an edge; a round expands the labels that the last one improved. Labels that cost
-no less than a known way to their query's destination are dropped. All queries advance together; the driver only asks whether
-labels are left. The loop ends by itself, as each label can only get cheaper; max_edges bounds the ways' length, not the search.
+Without turn costs a U-turn never pays, so labels are of nodes: one tree of cheapest ways for each different origin, or for each
+different destination if these are fewer, answers all queries that share it. A label has its cost and its last edge; ways are put
+together afterwards, an edge for each join. With turn costs labels are of edges and each query has its own.
+
+A round expands the labels that the last one improved; labels that cost no less than the dearest answer of their tree are dropped.
+All trees advance together; the driver only asks whether labels are left. The loop ends by itself, as a label only gets cheaper;
+nothing bounds the length of a way.
 """
 
 from __future__ import annotations
@@ -24,25 +28,89 @@ def _best(labels: DataFrame) -> DataFrame:
     return labels.groupBy("query_id", "edge_id").agg(F.min_by(F.struct("destination", "to_node", "cost", "path"), F.struct("cost", "path")).alias("b")).select("query_id", "edge_id", "b.destination", "b.to_node", "b.cost", "b.path")
 
 
-def cheapest_paths(queries: DataFrame, edges: DataFrame, max_edges: int = 64, turn: DataFrame | None = None, u_turns: bool = False) -> DataFrame:
+def trees(roots: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(root, node, cost, edge_id, prev): the cheapest way from each root to the nodes around it, its last edge and the node before.
+
+    roots: root; edges: edge_id, from_node, to_node, cost (not negative); targets: (root, node), all of which have their cheapest
+    way in the result if they can be reached. Of last edges of equal cost the least counts.
+    """
+    kind = edges.schema["cost"].dataType
+    none = F.lit(None).cast("long")
+    known = stage(roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).cast(kind).alias("cost"), none.alias("edge_id"), none.alias("prev")), "tree")
+    step = edges.select(F.col("from_node").alias("node"), "edge_id", F.col("to_node").alias("end"), F.col("cost").alias("more"))
+    wanted = stage(targets.select("root", "node").distinct(), "tree-targets")
+    total = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    frontier = known
+    while True:
+        met = wanted.join(known, ["root", "node"]).groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.max("cost").alias("bound"))
+        done = total.join(met, "root").where("m = n").select("root", "bound")
+        live = frontier.join(done, "root", "left").where("bound is null or cost < bound").select("root", "node", "cost")
+        grown = live.join(step, "node").groupBy("root", F.col("end").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), "edge_id", F.col("node").alias("prev"))).alias("b"))
+        old = known.select("root", "node", F.col("cost").alias("old"))
+        frontier = stage(grown.select("root", "node", "b.cost", "b.edge_id", "b.prev").join(old, ["root", "node"], "left").where("old is null or cost < old").drop("old"), "tree-frontier")
+        if frontier.isEmpty():
+            return known
+        known = stage(known.join(frontier.select("root", "node"), ["root", "node"], "left_anti").unionByName(frontier), "tree")
+
+
+def turned_round(edges: DataFrame) -> DataFrame:
+    """edges driven from their end to their start: for trees of ways towards a root."""
+    return edges.select(*[F.col({"from_node": "to_node", "to_node": "from_node"}.get(x, x)).alias(x) for x in edges.columns])
+
+
+def _answers(queries: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """The trees of all queries; (query_id, root, node, cost) of those that can be answered; whether roots are the destinations."""
+    n = queries.agg(F.count_distinct("origin"), F.count_distinct("destination")).first()
+    back = n[1] < n[0]
+    root, node = ("destination", "origin") if back else ("origin", "destination")
+    if back:
+        edges = turned_round(edges)
+    q = queries.select("query_id", F.col(root).alias("root"), F.col(node).alias("node"))
+    tree = trees(q, edges, q)
+    return tree, q.join(tree.select("root", "node", "cost"), ["root", "node"]), back
+
+
+def cheapest_costs(queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, cost) for every query that can be answered, as cheapest_paths()."""
+    return _answers(queries, edges)[1].select("query_id", "cost")
+
+
+def cheapest_paths(queries: DataFrame, edges: DataFrame, turn: DataFrame | None = None, u_turns: bool = False) -> DataFrame:
     """(query_id, cost, path array<edge_id>) for every query that can be answered; queries whose ends are one node cost 0.
 
-    edges: edge_id, opp_edge_id, from_node, to_node, cost (not negative). turn: optional (from_edge, to_edge, cost, banned) of edge
-    pairs; pairs that it does not name cost nothing. Of ways of equal cost that of the smaller path is the answer.
+    queries: query_id, origin, destination; edges: edge_id, opp_edge_id, from_node, to_node, cost (not negative). turn: see
+    turned_paths().
+    """
+    if turn is not None:
+        return turned_paths(queries, edges, turn, u_turns)
+    tree, found, back = _answers(queries, edges)
+    walk = stage(found.select("query_id", "root", F.col("node").alias("at"), "cost", F.array().cast("array<bigint>").alias("path")), "walk")
+    step, ended = tree.where("edge_id is not null").select("root", F.col("node").alias("at"), "edge_id", "prev"), None
+    while True:
+        home = walk.where("at = root").select("query_id", "cost", "path")
+        ended = home if ended is None else ended.unionByName(home)
+        walk = stage(walk.where("at <> root").join(step, ["root", "at"]).select("query_id", "root", F.col("prev").alias("at"), "cost", F.concat("path", F.array("edge_id")).alias("path")), "walk")
+        if walk.isEmpty():
+            return ended if back else ended.withColumn("path", F.reverse("path"))
+
+
+def turned_paths(queries: DataFrame, edges: DataFrame, turn: DataFrame, u_turns: bool = False) -> DataFrame:
+    """As cheapest_paths(), with turn: (from_edge, to_edge, cost, banned) of edge pairs; pairs that it does not name cost nothing.
+
+    Of ways of equal cost that of the smaller path is the answer.
     """
     same = queries.where("origin = destination").select("query_id", F.lit(0).cast(edges.schema["cost"].dataType).alias("cost"), F.array().cast("array<bigint>").alias("path"))
     frontier = stage(_best(seeds(queries.where("origin <> destination"), edges)), "labels")
     settled = frontier
     step = edges.select(F.col("from_node").alias("at"), F.col("edge_id").alias("next"), "opp_edge_id", F.col("to_node").alias("end"), F.col("cost").alias("more"))
-    for _ in range(max_edges - 1):
+    while True:
         found = settled.where("to_node = destination").groupBy("query_id").agg(F.min("cost").alias("bound"))
         live = frontier.where("to_node <> destination").join(found, "query_id", "left").where("bound is null or cost < bound").drop("bound")
         grown = live.join(step, live["to_node"] == step["at"])
         if not u_turns:
             grown = grown.where("edge_id <> opp_edge_id")
-        if turn is not None:
-            pair = turn.select(F.col("from_edge").alias("edge_id"), F.col("to_edge").alias("next"), F.col("cost").alias("turn_cost"), "banned")
-            grown = grown.join(pair, ["edge_id", "next"], "left").where("not coalesce(banned, false)").withColumn("more", F.col("more") + F.coalesce("turn_cost", F.lit(0)))
+        pair = turn.select(F.col("from_edge").alias("edge_id"), F.col("to_edge").alias("next"), F.col("cost").alias("turn_cost"), "banned")
+        grown = grown.join(pair, ["edge_id", "next"], "left").where("not coalesce(banned, false)").withColumn("more", F.col("more") + F.coalesce("turn_cost", F.lit(0)))
         grown = grown.select("query_id", "destination", F.col("next").alias("edge_id"), F.col("end").alias("to_node"), (F.col("cost") + F.col("more")).alias("cost"), F.concat("path", F.array("next")).alias("path"))
         known = settled.select("query_id", "edge_id", F.col("cost").alias("old"))
         frontier = stage(_best(grown).join(known, ["query_id", "edge_id"], "left").where("old is null or cost < old").drop("old"), "labels")

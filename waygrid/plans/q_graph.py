@@ -298,11 +298,14 @@ def etl20(spark, d):
     return graph.table(spark, d, "part").select("p_partkey", etl.names_consistent(a, b).alias("consistent"))
 
 
-@query("etl21_edge_transitions", f"""{GRAPH} SELECT i.edge_id AS inbound, o.edge_id AS outbound, i.opp_edge_id = o.edge_id AS u_turn FROM g_edge i JOIN g_edge o ON o.from_node=i.to_node WHERE i.road_class=1 AND o.road_class=1 AND i.edge_id%5=0""")
+@query("etl21_edge_transitions", f"""{GRAPH}, l AS (SELECT edge_id, opp_edge_id, from_node, row_number() OVER (PARTITION BY from_node ORDER BY edge_id)-1 AS local FROM g_edge)
+SELECT i.opp_edge_id AS inbound, CAST(i.local AS BIGINT) AS local, o.edge_id AS outbound, i.edge_id = o.edge_id AS u_turn FROM l i JOIN g_edge o ON o.from_node=i.from_node WHERE i.local < 8""")
 def etl21(spark, d):
-    e = graph.edges(spark, d).where("road_class = 1")
-    i = e.where("edge_id % 5 = 0").select(F.col("edge_id").alias("inbound"), F.col("to_node").alias("n"), F.col("opp_edge_id").alias("o"))
-    return i.join(e.select(F.col("from_node").alias("n"), F.col("edge_id").alias("outbound")), "n").select("inbound", "outbound", (F.col("o") == F.col("outbound")).alias("u_turn"))
+    """From each of a node's first eight edges, which are all that a transition can name, driven towards the node, into each edge that leaves it."""
+    e = graph.edges(spark, d)
+    local = (F.row_number().over(Window.partitionBy("from_node").orderBy("edge_id")) - 1).cast("long")
+    i = e.select("from_node", F.col("edge_id").alias("own"), F.col("opp_edge_id").alias("inbound"), local.alias("local")).where("local < 8")
+    return i.join(e.select("from_node", F.col("edge_id").alias("outbound")), "from_node").select("inbound", "local", "outbound", (F.col("own") == F.col("outbound")).alias("u_turn"))
 
 
 @query("etl26_hierarchy_transitions", f"{GRAPH}, h AS (SELECT DISTINCT from_node AS node_id, {LEVELS} AS level FROM g_edge) SELECT a.node_id, a.level AS from_level, b.level AS to_level FROM h a JOIN h b ON a.node_id=b.node_id AND a.level<>b.level")

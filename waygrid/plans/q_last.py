@@ -240,17 +240,6 @@ def pth17(spark, d):
     return queries(spark, d).join(e, ["origin", "destination"], "left").groupBy("query_id").agg(F.when(F.count("edge_id") > 0, "one way").otherwise("both ways").alias("algorithm"))
 
 
-@query("pth18_retry_failed", f"{COSTED} SELECT query_id, cost FROM (SELECT query_id, min(cost) AS cost FROM q JOIN ce ON from_node=origin AND to_node=destination GROUP BY 1) t")
-def pth18(spark, d):
-    """Queries that the strict graph cannot answer are run again on the whole graph; here ways of one edge, so the answer is the direct one."""
-    e, q = costed(spark, d), queries(spark, d)
-    first = search.cheapest_paths(q, e.where("toll = 0"), max_edges=1).select("query_id", "cost")
-    both = search.cheapest_paths(q, e, max_edges=1).select("query_id", "cost")
-    failed = q.join(first, "query_id", "left_anti")
-    again = search.cheapest_paths(failed, e, max_edges=1).select("query_id", "cost")
-    return both.join(first.unionAll(again).select("query_id"), "query_id", "left_semi")
-
-
 @query("pth22_restriction_paths", f"{GRAPH}, a AS (SELECT edge_id, to_node FROM g_edge WHERE edge_id%300=0) SELECT a.edge_id AS from_edge, v.edge_id AS via, t.edge_id AS to_edge FROM a JOIN g_edge v ON v.from_node=a.to_node AND v.edge_id%7=0 JOIN g_edge t ON t.from_node=v.to_node AND t.edge_id%11=0")
 def pth22(spark, d):
     e = graph.edges(spark, d).select("edge_id", "from_node", "to_node")

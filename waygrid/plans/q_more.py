@@ -10,6 +10,7 @@ from ..functions.geo import milli
 from ..operators import components, costing, filters, graph, polygons, trip
 from .q_geo import ENDS, ends
 from .q_graph import PATH, path
+from .q_route import leaving
 from .registry import FEED, GRAPH, query
 
 
@@ -137,11 +138,10 @@ def flt24(spark, d):
     return graph.edges(spark, d).where(filters.stops_expanding(F.col("edge_id") % 500, "length_m", 10, 5000.0)).select("edge_id")
 
 
-@query("flt26_edges_connected", f"{GRAPH}, a AS (SELECT * FROM g_edge WHERE edge_id%40=0), b AS (SELECT * FROM g_edge WHERE edge_id%40=1) SELECT a.edge_id, count(DISTINCT b.edge_id) AS touching FROM a JOIN b ON a.to_node=b.from_node GROUP BY 1")
+@query("flt26_edges_connected", f"{GRAPH}, b AS (SELECT from_node, count(*) AS touching FROM g_edge GROUP BY 1) SELECT a.edge_id, touching FROM g_edge a JOIN b ON a.to_node=b.from_node")
 def flt26(spark, d):
     e = graph.edges(spark, d)
-    b = e.where("edge_id % 40 = 1").select(F.col("from_node").alias("to_node"), F.col("edge_id").alias("other"))
-    return e.where("edge_id % 40 = 0").join(b, "to_node").groupBy("edge_id").agg(F.countDistinct("other").alias("touching"))
+    return e.join(leaving(e), "to_node").select("edge_id", F.col("n").alias("touching"))
 
 
 @query("flt27_contractable", f"{GRAPH} SELECT from_node, count(*) = 2 AS contractable FROM g_edge WHERE road_class <= 1 GROUP BY 1")
