@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import geo
 
@@ -51,10 +50,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates of the feed, each on one of the first 200 edges."""
-    first = edges(spark, sf_dir).select("edge_id").orderBy("edge_id").limit(200).withColumn("ord", F.row_number().over(Window.orderBy("edge_id")))
+    """Updates of the feed. A user's updates lie on the ways of four parts of the table, on one or the other edge of the first way."""
+    parts = table(spark, sf_dir, "part").count()
+    first = ways(spark, sf_dir).groupBy("a").agg(F.min("way_id").alias("way_id"))
     e, kind = table(spark, sf_dir, "events"), F.col("event_type")
-    e = e.withColumn("ord", (F.lit(1) + F.col("user_id") * 7 % 200).cast("int")).join(F.broadcast(first), "ord")
+    e = e.withColumn("a", (F.col("user_id").cast("long") * 7919 + F.col("event_id") % 4) % F.lit(max(parts, 1))).join(first, "a")
+    e = e.withColumn("edge_id", F.col("way_id") * 2 + F.col("event_id") % 2)
     return e.select(
         "event_id", F.when(F.col("user_id") % 2 == 0, "here").otherwise("tomtom").alias("provider_id"),
         F.when(kind == "error", "incident").when(kind == "purchase", "closure").when(kind == "signup", "restriction").otherwise("flow").alias("kind"),

@@ -39,8 +39,8 @@ TRAFFIC = """g_traffic AS MATERIALIZED (
   SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'here' ELSE 'tomtom' END AS provider_id,
     CASE event_type WHEN 'error' THEN 'incident' WHEN 'purchase' THEN 'closure' WHEN 'signup' THEN 'restriction' ELSE 'flow' END AS kind,
     CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS layer, event_type='purchase' AS closed,
-    event_id % 5 <> 0 AS direction_resolved, CAST(floor(value + 0.5e0) AS BIGINT) % 100 AS confidence_pct, ts AS freshness, e.edge_id,
+    event_id % 5 <> 0 AS direction_resolved, CAST(floor(value + 0.5e0) AS BIGINT) % 100 AS confidence_pct, ts AS freshness, e.way_id * 2 + event_id % 2 AS edge_id,
     CAST(floor(value) AS BIGINT) % 130 AS speed_kph, CAST(floor(value * 7e0) AS BIGINT) % 900 AS delay_s
-  FROM events ev JOIN (SELECT edge_id, row_number() OVER (ORDER BY edge_id) AS ord FROM g_edge) e ON e.ord = 1 + (ev.user_id*7) % 200)"""
+  FROM events ev JOIN (SELECT a, min(way_id) AS way_id FROM g_base GROUP BY a) e ON e.a = (CAST(ev.user_id AS BIGINT)*7919 + event_id % 4) % (SELECT count(*) FROM part))"""
 GRAPH = f"WITH {NODE}, {BASE}, {EDGE}"
 FEED = f"{GRAPH}, {TRAFFIC}"
