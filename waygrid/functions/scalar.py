@@ -182,3 +182,22 @@ def fill(phrase, **tags) -> Column:
     for name, value in tags.items():
         out = F.replace(out, F.lit(f"<{name.upper()}>"), c(value).cast("string"))
     return out
+
+
+def stable_id(text) -> Column:
+    """FNV-1a of the text's UTF-8, its low 48 bits; of null, null. Only these bits are kept on the way, so no product overflows."""
+    mask, raw = (1 << 48) - 1, F.hex(F.encode(c(text), "utf-8"))
+    part = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+
+    def step(h, b):
+        x = h.bitwiseXOR(b)
+        return (x * 0x1B3 + F.shiftleft(x.bitwiseAND(0xFF), 40)).bitwiseAND(mask)
+
+    start = F.lit(0xCBF29CE484222325 & mask).cast("long")
+    return F.when(F.length(raw) == 0, start).otherwise(F.aggregate(part, start, step))
+
+
+def bucket_place(cost, low: float, size: int, span: float) -> Column:
+    """The bucket of a two-level queue that a cost waits in: -1 beyond the span, else counted from the start of the bucket of `low`."""
+    start = int(low) - int(low) % size
+    return F.when(c(cost) >= start + span, F.lit(-1)).when(c(cost) > start, F.floor((c(cost) - start) / size)).otherwise(F.lit(0)).cast("long")

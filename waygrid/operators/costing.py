@@ -170,6 +170,37 @@ def base_transition(node_type, edge: dict, before: dict, o: Options = Options())
     return cost + one(~edge["link"] & ~edge["same_name"]) * o.maneuver_penalty + use("service") * o.service_penalty, secs
 
 
+#: Fixed values, by kind of turn: straight, slight right, right, sharp right, reverse, sharp left, left, slight left.
+RIGHT_SIDE_TURN = [0.5, 0.75, 1.0, 1.5, 9.5, 3.5, 2.5, 0.75]
+LEFT_SIDE_TURN = [0.5, 0.75, 2.5, 3.5, 9.5, 1.5, 1.0, 0.75]
+CROSSING_TURN, RAMP_TURN, ROUNDABOUT_TURN, LOW_CLASS_SECONDS, LEFT_SPEED = 2.0, 1.5, 0.5, 30.0, 13.4
+TURNS = ("straight", "slight right", "right", "sharp right", "reverse", "sharp left", "left", "slight left")
+
+
+def intersection_cost(turn, impact, crossing, drive_on_right, ramp, ramp_before, roundabout, density, measured, name_consistent, pencil_point) -> Column:
+    """Cost of passing a node from one edge into another, besides the base cost: by the side one drives on, times the stop impact and
+    the density. turn: one of TURNS; impact 0..7, 0 costs nothing; measured: the edge before has live speed, so only turns count."""
+    side = lambda costs: F.element_at(F.create_map(*[F.lit(x) for pair in zip(TURNS, costs, strict=True) for x in pair]), c(turn))
+    base = F.when(c(crossing), F.lit(CROSSING_TURN)).when(c(drive_on_right), side(RIGHT_SIDE_TURN)).otherwise(side(LEFT_SIDE_TURN))
+    onto = c(ramp) != c(ramp_before)
+    base = base + F.when(onto, F.lit(RAMP_TURN) + F.when(c(roundabout), F.lit(ROUNDABOUT_TURN)).otherwise(0.0)).otherwise(0.0)
+    turned = c(turn).isin("left", "sharp left", "right", "sharp right", "reverse")
+    secs = u_turn_seconds(F.when(turned, base * c(impact)).otherwise(base), c(turn) == "reverse", name_consistent, pencil_point)
+    secs = F.when(c(measured), secs).otherwise(F.when(turned, secs).otherwise(secs * c(impact)) * scalar.transition_density(density))
+    return F.when(c(impact) > 0, secs).otherwise(0.0)
+
+
+def unprotected_left(turn, signal, detour_m: float) -> Column:
+    """Cost of a left turn without a signal, worth a detour of so many metres; none at 0."""
+    return F.when(c(turn).isin("left", "sharp left") & ~c(signal) & F.lit(detour_m > 0), F.lit(detour_m / LEFT_SPEED)).otherwise(0.0)
+
+
+def truck_entry(road_class, truck_access, truck_access_before, no_access_penalty: float = 0.0, static_friction: bool = True) -> Column:
+    """A truck's cost of entering a residential or service road (class 6 or 7), and an edge that is closed to it from one that is not."""
+    low = F.when((c(road_class) >= 6) & F.lit(static_friction), F.lit(LOW_CLASS_SECONDS)).otherwise(0.0)
+    return low + F.when(c(truck_access_before) & ~c(truck_access), F.lit(no_access_penalty)).otherwise(0.0)
+
+
 def partial(cost, secs, start, end) -> tuple[Column, Column]:
     """Of the part of an edge between two shares of its length."""
     share = F.greatest(F.lit(0.0), c(end) - c(start))

@@ -123,3 +123,68 @@ def trivial(a, b, start, end) -> Column:
 
 def freshness(base_fresh, closures_fresh, traffic_fresh) -> Column:
     return F.when(~c(base_fresh) | ~c(closures_fresh), "fail").when(~c(traffic_fresh), "closures only").otherwise("available")
+
+
+#: Kinds of turn restriction and their numbers.
+RESTRICTIONS = {"no_left_turn": 0, "no_right_turn": 1, "no_straight_on": 2, "no_u_turn": 3, "only_right_turn": 4, "only_left_turn": 5, "only_straight_on": 6, "no_entry": 7, "no_exit": 8, "no_turn": 9}
+VEHICLES = ("hgv", "emergency", "taxi", "motorcar", "bus", "bicycle", "hazmat", "motorcycle", "foot")
+
+
+def restriction_kind(value) -> Column:
+    """The number of a kind of restriction; null if there is no such kind."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in RESTRICTIONS.items() for x in pair]), c(value))
+
+
+def qualified(value) -> tuple[Column, Column, Column]:
+    """(whether 'kind @ condition' has both parts, kind, condition)"""
+    at = F.instr(c(value), "@")
+    kind, condition = F.trim(F.substring_index(c(value), "@", 1)), F.trim(F.regexp_replace(c(value), "^[^@]*@", ""))
+    return F.coalesce((at > 1) & (F.length(kind) > 0) & (F.length(condition) > 0), F.lit(False)), kind, condition
+
+
+def restriction_tags(tags: Column) -> tuple[Column, Column]:
+    """(whether a relation's tags are usable, the tags as the graph build reads them) of a map of tags.
+
+    Kinds become numbers; of a vehicle's own restriction and the general one the first counts and the other goes; a probable one
+    goes beside another; of conditional and probable ones the condition stays. Relations without a restriction are usable as they are.
+    """
+    own = {v: restriction_kind(tags[f"restriction:{v}"]) for v in VEHICLES}
+    kind, cond, prob = tags["type"], tags["restriction:conditional"], tags["restriction:probable"]
+    prob = F.when(tags["restriction"].isNull() & cond.isNull(), prob)
+    cond_ok, cond_kind, cond_rest = qualified(cond)
+    prob_ok, prob_kind, prob_rest = qualified(prob)
+    general = F.coalesce(restriction_kind(tags["restriction"]), F.when(cond_ok, restriction_kind(cond_kind)), F.when(prob_ok, restriction_kind(prob_kind)))
+    special = F.coalesce(*own.values())
+    names = ["restriction", "restriction:conditional", "restriction:probable", *[f"restriction:{v}" for v in VEHICLES]]
+    any_tag = F.exists(F.map_keys(tags), lambda k: k.isin(names))
+    usable = kind.isin("restriction", "route") & ((kind == "restriction") | tags["restriction:conditional"].isNotNull() | tags["restriction:probable"].isNotNull())
+    usable = usable & F.coalesce(special, general).isNotNull() & (cond.isNull() | cond_ok) & (prob.isNull() | prob_ok)
+    new = F.array(
+        F.struct(F.lit("restriction").alias("key"), F.when(special.isNull(), general).cast("string").alias("value")),
+        F.struct(F.lit("restriction:conditional").alias("key"), F.when(cond.isNotNull(), cond_rest).alias("value")),
+        F.struct(F.lit("restriction:probable").alias("key"), F.when(prob.isNotNull(), prob_rest).alias("value")),
+        *[F.struct(F.lit(f"restriction:{v}").alias("key"), k.cast("string").alias("value")) for v, k in own.items()],
+    )
+    rest = F.map_filter(tags, lambda k, v: ~k.isin(names))
+    made = F.map_concat(rest, F.map_from_entries(F.filter(new, lambda x: x["value"].isNotNull())))
+    ok = F.when(any_tag, F.coalesce(usable, F.lit(False))).otherwise(F.lit(True))
+    return ok, F.when(any_tag & ok, made).otherwise(tags)
+
+
+def bridging_restricted(forward: Column, backward: Column, banned: Column, patch: int = 10) -> Column:
+    """Whether a banned sequence of edges lies across the place where two searches meet, or an edge is driven twice.
+
+    forward: edges up to the meeting edge, in order; backward: those after it; banned: an array of such arrays. Only `patch` edges
+    before the meeting edge and 2 * patch after it are looked at.
+    """
+    before = F.slice(forward, F.greatest(F.size(forward) - patch, F.lit(1)), patch + 1)
+    after = F.slice(backward, 1, 2 * patch + 1)
+    path = F.concat(before, after)
+    return F.exists(banned, lambda b: holds_sequence(path, b)) | F.arrays_overlap(before, after)
+
+
+def restriction_view(edges, restrictions, modes: int):
+    """edges (edge_id) with the restrictions (from_edge, to_edge, modes) that end at them, forward, or begin at them, reverse, for any of the modes."""
+    own = restrictions.where(F.col("modes").bitwiseAND(F.lit(modes).cast("int")) != 0)
+    ends = own.withColumn("edge_id", F.col("to_edge")).withColumn("direction", F.lit("forward"))
+    return edges.join(ends.unionByName(own.withColumn("edge_id", F.col("from_edge")).withColumn("direction", F.lit("reverse"))), "edge_id")

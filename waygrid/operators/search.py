@@ -181,3 +181,28 @@ def differing_segment(a: Column, b: Column) -> tuple[Column, Column]:
     tail = lambda x, i: F.slice(x, F.size(x) - i + 1, i)
     suffix = F.array_max(F.filter(k, lambda i: (i == 0) | (tail(a, F.greatest(i, F.lit(1))) == tail(b, F.greatest(i, F.lit(1))))))
     return prefix, F.least(suffix, n - prefix)
+
+
+def expansion_factor(meters) -> Column:
+    """By how much farther arterial roads are searched if the ends are 25 to 100 km apart."""
+    return F.when((c(meters) > 25_000.0) & (c(meters) < 100_000.0), F.least(F.lit(3.0), F.lit(100_000.0) / c(meters))).otherwise(1.0)
+
+
+def alternate_threshold(cost) -> Column:
+    """The cost up to which a search for alternates goes on."""
+    return F.lit(1.2) * c(cost) + 420.0
+
+
+def multi_leg_costs(stops: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, cost) of the way by all stops in their order. stops: query_id, stops array; a query with a leg that cannot be driven has no row."""
+    legs = stops.select("query_id", F.posexplode(F.expr("transform(sequence(1, size(stops) - 1), i -> struct(stops[i - 1] as origin, stops[i] as destination))")).alias("leg", "l"))
+    legs = legs.select("query_id", "leg", "l.origin", "l.destination")
+    each = legs.select("origin", "destination").distinct().withColumn("query_id", F.struct("origin", "destination"))
+    found = cheapest_costs(each, edges).select("query_id.origin", "query_id.destination", "cost")
+    total = legs.join(found, ["origin", "destination"], "left").groupBy("query_id").agg(F.count("cost").alias("n"), F.count(F.lit(1)).alias("m"), F.sum("cost").alias("cost"))
+    return total.where("n = m").select("query_id", "cost")
+
+
+def recover(shortcuts: DataFrame) -> DataFrame:
+    """(shortcut, seq, edge_id): the base edges of shortcuts (shortcut, base array<edge_id>)."""
+    return shortcuts.select("shortcut", F.posexplode("base").alias("seq", "edge_id"))

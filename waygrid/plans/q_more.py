@@ -214,15 +214,6 @@ def prj21(spark, d):
     return graph.edges(spark, d).join(F.broadcast(dim), "road_class").select("edge_id", "name")  # eight rows
 
 
-@query("cst05_transition_cost", f"""{GRAPH}, x AS (SELECT edge_id, edge_id%360 AS g, edge_id%8 AS impact, density FROM g_edge)
-SELECT edge_id, floor((impact*list_extract([0.15e0,0.2e0,0.25e0,0.5e0,1e0,0.6e0,0.3e0,0.25e0], CASE WHEN g<=10 THEN 1 WHEN g<=44 THEN 2 WHEN g<=135 THEN 3 WHEN g<=159 THEN 4 WHEN g<=200 THEN 5 WHEN g<=224 THEN 6 WHEN g<=315 THEN 7 WHEN g<=349 THEN 8 ELSE 1 END)*list_extract([1.0,1.0,1.0,1.0,1.0,1.1,1.2,1.3,1.4,1.6,1.9,2.2,2.5,2.8,3.1,3.5]::DOUBLE[], CAST(density AS INT)+1))*1e6+0.5e0)/1e6 AS seconds FROM x""")
-def cst05(spark, d):
-    weights = {"straight": 0.15, "slight right": 0.2, "right": 0.25, "sharp right": 0.5, "reverse": 1.0, "sharp left": 0.6, "left": 0.3, "slight left": 0.25}
-    kind = geo.turn_type(F.col("edge_id") % 360)
-    seconds = (F.col("edge_id") % 8) * F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, v)])[kind] * scalar.transition_density("density")
-    return graph.edges(spark, d).select("edge_id", milli(seconds, 1e6).alias("seconds"))
-
-
 @query("cst11_turn_kind", f"{GRAPH} SELECT edge_id, CASE WHEN length_m < 20000 AND edge_id%360 BETWEEN 45 AND 135 THEN 'right' WHEN length_m < 20000 AND edge_id%360 BETWEEN 225 AND 315 THEN 'left' ELSE 'none' END AS internal FROM g_edge")
 def cst11(spark, d):
     g, short = F.col("edge_id") % 360, F.col("length_m") < 20_000
