@@ -1,11 +1,14 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements; known boilerplate (by element, role or class) is left out of it. For each node, from its
-characters C, tags T, link characters LC and link tags LT, and the body's Cb and LCb:
+A page becomes a tree of elements; known boilerplate (by element, role or class) is left out of it. A name alone proves little, so
+an element that its class, id, role or kind only makes likely to be boilerplate stays in the tree if the page has no article outside
+such elements and less than SPARE of its unlinked text there. For each node, from its characters C, tags T, link characters LC and
+link tags LT, and the body's Cb and LCb:
   density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
 with zeros taken as 1, and C / T alone where the body has no links. A node's sum is that of its children's densities. The node
-with the largest sum is the main one; the threshold is the least density on its path to the body. An article element around it
-is the result; without one, the node of the largest sum inside every node that reaches the threshold is.
+with the largest sum is the main one; the threshold is the least density on its path to the body. If it lies in an article element,
+or articles hold half of its text, the articles that reach the threshold are the result; if not, the node of the largest sum inside
+every node that reaches it is.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship
@@ -32,9 +34,16 @@ CLOSES_P = BLOCK - CELL - frozenset("body html tr tbody thead tfoot caption lege
 ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tbody": (("tbody", "thead", "tfoot"), ("table",)), "thead": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tbody", "thead", "tfoot"), ("table",)), "option": (("option",), ("select", "datalist"))}
 #: A class or id with one of these words is boilerplate if the word ends it, or begins it and is in FIRST.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promoted promotion recommended related replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Words that never name what holds an article.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus gdpr navbar navigation replies reply respond sponsor sponsored".split())
 FIRST = frozenset("ad ads advert advertisement adsense breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr menu nav navbar navigation newsletter notice pagination promo related reader share sidebar social sponsor sponsored subscribe".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 KEEP = frozenset(("html", "body", "article", "main"))
+#: Elements that can hold a whole page.
+LIKELY = frozenset(("form", "aside", "header", "dialog", "footer"))
+#: Text outside likely boilerplate, as a share of that within, below which it is none.
+SPARE = 0.25
+CLEAN, SOFT, HARD = 0, 1, 2
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _TAIL = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
@@ -43,57 +52,100 @@ _PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def noise_of(tag: str, attributes: str, in_article: bool) -> int:
+    """CLEAN, SOFT (likely boilerplate) or HARD (certain)."""
     if tag in DROP or tag == "header" and not in_article:
-        return True
+        return SOFT if tag in LIKELY else HARD
     if not attributes or tag in KEEP:
-        return False
+        return CLEAN
     a = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attributes)}
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or _HIDDEN.search(a.get("style", "")):
-        return True
+    if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
+        return HARD
+    out = SOFT if a.get("role") in ROLES else CLEAN
     for name in f"{a.get('class', '')} {a.get('id', '')}".split():
         parts = _PARTS.findall(name)
-        if parts and (parts[-1] in NOISE and parts[0] not in ("has", "with", "no") or len(parts) > 1 and parts[0] in FIRST):
-            return True
-    return False
+        if parts and parts[-1] in NOISE and parts[0] not in ("has", "with", "no"):
+            out = max(out, HARD if parts[-1] in FIRM else SOFT)
+        if len(parts) > 1 and parts[0] in FIRST:
+            out = max(out, HARD if parts[0] in FIRM else SOFT)
+    return out
 
 
 class Page:
     """Nodes in page order; a node's parent has a smaller number. Node 0 holds all."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.own, self.link, self.noise = ["#"], [-1], [0], [False], [False]
-        self.blocks: list[tuple[int, list[str]]] = []  # the node that a block lies in, its pieces of text
-        self.piece: list[str] = []
-        self.stack = [0]
+        self.tag, self.parent, self.own, self.link = ["#"], [-1], [0], [False]
+        self.kind, self.noise = [CLEAN], [False]  # of the element itself; whether it or one around it is left out
+        self.events: list[tuple[int, str | None]] = []  # a node and its text, or None where a block of text ends at the node's border
+        self.stack, self.open = [0], {}
         self.article = [False]
         self.parse(html)
-        self.flush()
+        self.spare()
+        self.blocks: list[tuple[set[int], str]] = []  # the nodes that a block lies in, its text
+        self.collect()
 
-    def flush(self) -> None:
-        if self.piece:
-            if text := " ".join("".join(self.piece).split()):
-                k = self.stack[-1]
-                while self.tag[k] not in BLOCK and k:
-                    k = self.parent[k]
-                self.blocks.append((k, text))
-            self.piece = []
+    def spare(self) -> None:
+        """Decides which SOFT nodes are left out, those of most text first; then the nodes inside."""
+        n = len(self.tag)
+        outer, apart, whole = [0] * n, [0] * n, [0] * n  # the nearest SOFT node around; unlinked text without and with that of SOFT nodes inside
+        for k in range(1, n):
+            p = self.parent[k]
+            outer[k] = p if self.kind[p] == SOFT else outer[p]
+        for k in range(n - 1, -1, -1):
+            own = 0 if self.link[k] else self.own[k]
+            apart[k] += own
+            whole[k] += own
+            if k:
+                whole[self.parent[k]] += whole[k]
+                if self.kind[k] != SOFT:
+                    apart[self.parent[k]] += apart[k]
+        soft = [k for k in range(1, n) if self.kind[k] == SOFT]
+        article = any(apart[k] and not outer[k] and t in ("article", "main") for k, t in enumerate(self.tag))
+        if not article:
+            text = apart[0]
+            for k in sorted(soft, key=lambda k: (-whole[k], k)):
+                if whole[k] and text < SPARE * whole[k] and self.kind[outer[k]] != SOFT:
+                    self.kind[k] = CLEAN
+                    text += apart[k]
+        for k in range(1, n):
+            self.noise[k] = self.kind[k] != CLEAN or self.noise[self.parent[k]]
+            if self.noise[k]:
+                self.own[k] = 0
+
+    def collect(self) -> None:
+        """The blocks of text outside what is left out."""
+        nodes, pieces = set(), []
+        for k, raw in [*self.events, (0, None)]:
+            if self.noise[k]:
+                continue
+            if raw is not None:
+                nodes.add(k)
+                pieces.append(raw)
+            elif pieces:
+                if text := " ".join("".join(pieces).split()):
+                    self.blocks.append((nodes, text))
+                nodes, pieces = set(), []
 
     def text(self, raw: str) -> None:
         k = self.stack[-1]
         if raw and not self.noise[k]:
             raw = unescape(raw) if "&" in raw else raw
-            self.piece.append(raw)
+            self.events.append((k, raw))
             self.own[k] += len(raw.strip())
 
     def close_to(self, depth: int) -> None:
         """Ends the open elements from place depth of the stack on."""
-        if any(self.tag[k] in BLOCK and self.tag[k] not in CELL and not self.noise[k] for k in self.stack[depth:]):
-            self.flush()
+        for k in self.stack[depth:]:
+            self.open[self.tag[k]] -= 1
+            if self.tag[k] in BLOCK and self.tag[k] not in CELL and not self.noise[k]:
+                self.events.append((k, None))
         del self.stack[depth:], self.article[depth:]
 
     def up(self, tags, until=()) -> int:
         """The place of the innermost open element of tags, 0 if one of until comes first."""
+        if not any(self.open.get(t) for t in tags):
+            return 0
         for d in range(len(self.stack) - 1, 0, -1):
             t = self.tag[self.stack[d]]
             if t in tags:
@@ -112,23 +164,27 @@ class Page:
         if tag == "br" or tag in CELL:
             self.text(" ")
         top = self.stack[-1]
-        noise = self.noise[top] or is_noise(tag, attributes, self.article[-1])
-        if tag in BLOCK and tag not in CELL and not noise:
-            self.flush()
+        kind = HARD if self.noise[top] else noise_of(tag, attributes, self.article[-1])
         if tag in VOID:
-            if tag not in ("br", "wbr") and not noise:
-                self.add(tag, noise)
+            if tag not in ("br", "wbr") and kind != HARD:
+                k = self.add(tag, kind)
+                if tag in BLOCK:
+                    self.events.append((k, None))
             return
-        self.stack.append(self.add(tag, noise))
+        self.stack.append(k := self.add(tag, kind))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in BLOCK and tag not in CELL and kind != HARD:
+            self.events.append((k, None))
         self.article.append(self.article[-1] or tag in ("article", "main"))
 
-    def add(self, tag: str, noise: bool) -> int:
+    def add(self, tag: str, kind: int) -> int:
         top = self.stack[-1]
         self.tag.append(tag)
         self.parent.append(top)
         self.own.append(0)
         self.link.append(tag == "a" or self.link[top])
-        self.noise.append(noise)
+        self.kind.append(kind)
+        self.noise.append(kind == HARD)
         return len(self.tag) - 1
 
     def end(self, tag: str) -> None:
@@ -223,9 +279,11 @@ class Page:
         path = [best]
         while path[-1] != root:
             path.append(self.parent[path[-1]])
-        if articles := [k for k in path if self.tag[k] == "article"] or [k for k in path if self.tag[k] == "main"]:
-            return {articles[-1]}
         threshold = min(density[k] for k in path)
+        for tag in ("article", "main"):
+            own = [inside[k] and self.tag[k] == tag for k in range(n)]
+            if any(own[k] for k in path) or self.share(best, own) >= 0.5:
+                return {k for k in range(n) if own[k] and density[k] >= threshold}
         top = list(range(n))  # the node of the largest sum inside each node
         for k in range(n - 1, root, -1):
             p = self.parent[k]
@@ -233,6 +291,20 @@ class Page:
                 top[p] = top[k]
         return {top[k] for k in range(n) if inside[k] and density[k] >= threshold and density[k] > 0}
 
+    def share(self, top: int, chosen: list[bool]) -> float:
+        """The share of top's text that lies in chosen nodes."""
+        n = len(self.tag)
+        within, under, text, all_text = list(chosen), [False] * n, 0, 0
+        under[top] = True
+        for k in range(top, n):
+            if k != top:
+                under[k] = under[self.parent[k]]
+                within[k] = within[k] or within[self.parent[k]]
+            if under[k]:
+                all_text += self.own[k]
+                text += self.own[k] * within[k]
+        return text / (all_text or 1)
+
     def result(self) -> str:
         chosen = self.main()
         if not chosen:
@@ -240,7 +312,7 @@ class Page:
         within = [k in chosen for k in range(len(self.tag))]
         for k in range(1, len(within)):
             within[k] = within[k] or within[self.parent[k]]
-        return "\n\n".join(text for k, text in self.blocks if within[k])
+        return "\n\n".join(text for nodes, text in self.blocks if any(within[k] for k in nodes))
 
 
 def main_text(html: str | None) -> str:
@@ -259,4 +331,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema).withColumn("n_chars", F.col("n_chars"))
+    return rows.mapInArrow(run, schema)
