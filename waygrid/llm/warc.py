@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,13 +30,18 @@ def _header(*lines: str) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def urn(page_id) -> str:
+    """The name of a page's record; a null id has a name of its own."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
     """A response record, or a revisit record (the HTTP header alone) if refers_to is given."""
     http = _header("HTTP/1.1 200 OK", "Content-Type: text/html; charset=UTF-8", f"Content-Length: {len(payload)}")
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', url)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     return _header(*lines, "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}") + block + _END
 
 
@@ -50,10 +56,13 @@ def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
     for c in chunks:
         while c:
             fresh = False
-            yield d.decompress(c)
-            c = d.unused_data
+            yield d.decompress(c, READ_BYTES)  # a small piece may inflate to very much
+            c = d.unconsumed_tail
             if d.eof:
-                d, fresh = zlib.decompressobj(31), True
+                c, d, fresh = d.unused_data, zlib.decompressobj(31), True
+    while not fresh and (rest := d.decompress(b"", READ_BYTES)):
+        yield rest
+        fresh = d.eof
     if not fresh:
         raise ValueError("gzip stream ends early")
 
@@ -113,8 +122,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     name, z = f"{folder}/{uuid.uuid4().hex}.warc.gz", zlib.compressobj(LEVEL, wbits=31)
                     out = files.create(name)
-                refers = r["refers_to"]
-                out.write(z.compress(record(str(r["page_id"]), r["url"] or "", (r["html"] or "").encode(), r["digest"], None if refers is None else str(refers))))
+                out.write(z.compress(record(r["page_id"], r["url"] or "", (r["html"] or "").encode(), r["digest"], r["refers_to"])))
         if out is not None:
             out.write(z.flush())
             out.close()
@@ -193,14 +201,14 @@ def base32(hexed) -> F.Column:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, digest, refers_to: of equal payloads of min_bytes or more, all but the smallest page_id revisit that one.
 
-    Null html is an empty payload. A null page_id is the largest; if all of a group are null, all are responses. Rows that repeat
+    Payloads of equal SHA-1 are equal if their SHA-256 is too. Null html is an empty payload. A null page_id is the largest; if all of a group are null, all are responses. Rows that repeat
     the smallest page_id are responses too.
     """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("sha2", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha", "sha2").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = stage_table(first, "warc-repeated")
-    both = rows.join(small(first, first.count()), "sha", "left")
+    both = rows.join(small(first, first.count()), ["sha", "sha2"], "left")
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return both.select("page_id", "url", "html", base32(F.hex("sha")).alias("digest"), refers.alias("refers_to"))
 
@@ -214,6 +222,6 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     archives = stage_table(write_archives(with_revisits(pages, id_col, url_col, html_col, min_bytes), new_path(spark, "warc-stream")), "warc-files")
     index = stage_table(normalise(archives, new_path(spark, "warc")), "warc-index")
     kind = pages.schema[id_col].dataType
-    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("None")).cast(kind)
+    page = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.expr(f"substring({c}, 11, length({c}) - 11)"))).cast(kind)
     back = read_records(index.repartitionByRange(tasks(archives.count()), "file", "offset")).drop("payload")
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "url")
