@@ -237,6 +237,8 @@ def test_warc(spark, sf):
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()), key=str)
     assert got == sorted([(1, 4, "response", None), (1, 4, "response", None), (2, 4, "revisit", 1), (None, 4, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 200_000, "response", None)], key=str)
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+    named = spark.createDataFrame([("None", "u", "x", 1), (None, "u", "y", 2), ("", "u", "z", 3), ("a >/é+%", "u", "w", 4)], "page_id string, url string, html string, digest int")
+    assert sorted((r.page_id or "", r.page_id is None) for r in warc.archive_round_trip(named).collect()) == [("", False), ("", True), ("None", False), ("a >/é+%", False)]
     assert all(r.record_type == "response" for r in warc.archive_round_trip(pages, min_bytes=10**6).collect())
     real = spark.read.parquet(f"{sf}/pages.parquet")
     archives = stage_table(warc.write_archives(warc.with_revisits(real), new_path(spark, "t")), "t")
@@ -308,3 +310,12 @@ def test_arrow_buffers_with_nulls():
 
     data, offsets = text_buffers(pa.array(["ab", None, "", "c"]))
     assert bytes(data[offsets[0] : offsets[-1]]) == b"abc" and np.diff(offsets).tolist() == [2, 0, 0, 1]
+
+
+def test_inflate_is_bounded_and_whole():
+    import gzip
+
+    raw = gzip.compress(b"a" * 5_000_000) + gzip.compress(b"") + gzip.compress(b"bc" * 700_000)
+    for size in (1, 999, 10**7):
+        pieces = list(warc.inflate(raw[i : i + size] for i in range(0, len(raw), size)))
+        assert b"".join(pieces) == b"a" * 5_000_000 + b"bc" * 700_000 and max(map(len, pieces)) <= warc.READ_BYTES

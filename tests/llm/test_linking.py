@@ -2,15 +2,17 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from waygrid.llm import line_dedup, linking
 from waygrid.llm.common import ship
 
 
 def linked(spark, texts, keys):
     ship(spark)
-    rows = spark.createDataFrame([(k, n) for n, own in keys.items() for k in own], "key long, nid long")
-    table = spark.createDataFrame(list(texts.items()), "nid long, text string")
-    found = linking.link(linking.buckets(rows, "test"), table, line_dedup.shingle_set, line_dedup.jaccard, 0.8)
+    rows = spark.createDataFrame([(n, own) for n, own in keys.items()], "nid long, bands array<long>").withColumn("sketch", F.lit(None).cast("long"))
+    table = spark.createDataFrame(list(texts.items()), "nid long, text string").withColumn("sketch", F.lit(None).cast("long"))
+    found = linking.link(linking.buckets(rows, "test"), table, line_dedup.shingle_sets, line_dedup.jaccard, 0.8)
     return {r.nid: r.root for r in found.collect()}
 
 

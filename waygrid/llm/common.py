@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Used only where the session names no spark.checkpoint.dir, as in tests.
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 #: Text bytes handled at once inside a Python task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Narrow rows (a few numbers each) that may be broadcast; beyond, a join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -47,6 +47,24 @@ def remove(spark: SparkSession, path: str) -> None:
     del jvm
 
 
+class Scratch:
+    """Stage tables that go when drop() is called, but for those that it is told to keep."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out = stage_table(df, name)
+        self.made.append(out)
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        for df in self.made:
+            if not any(df is k for k in keep):
+                drop_table(df)
+        self.made = []
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes the files of a table made by stage_table() that no later plan reads."""
     for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -69,7 +87,7 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(at)
         sc._waygrid_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

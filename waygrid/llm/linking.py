@@ -1,106 +1,306 @@
-"""Classes of similar texts from buckets of candidates, for any similarity s whose 1 - s is a metric, without all pairs.
+"""Classes of similar texts from buckets of candidates, for any similarity s whose 1 - s is a metric, without all pairs of a bucket.
 
-First, in each bucket all nodes are held against its most central one, which is the one that meets most others in all its buckets:
-of a text and its changed copies, the text. A link that this can miss is
+Candidates must also agree in most of a sketch, where they have one: a word with a bit of each of 64 places of their signatures.
+Texts of s = 0.8 differ in 6.4 bits on average, and with probability 2e-5 in more than MOST_APART; such of s = 0.1 differ in 29.
+Nodes without such a candidate in a bucket leave it. Buckets of the same nodes are one set. A set of SET_NODES nodes and SET_BYTES bytes at most is decided in one row of a Python task:
+its nodes are held against each other unless they are in one component already or the triangle inequality forbids a link.
+
+In a larger set all nodes are first held against its most central one, which is the one that is in most larger sets: of a text and its
+changed copies, the text. Sets of one such node become one. A link that this can miss is
 - between a node that is further than 1 - threshold from that one, but at most twice as far, and one that is near it and, by
   the triangle inequality, no less far than the first one's distance less 1 - threshold; such pairs are held against each other
   unless they are in one component already;
-- between two nodes that are both further than 1 - threshold. These elect a most central one among themselves, in each bucket, and
-  are held against it in the same two ways. Those that are far from that one too are held against each other, in blocks, unless
-  the triangle inequality forbids a link or they are in one component already.
+- between two nodes that are both further than 1 - threshold. If these are many, all of a set
+  are held against the one of them that is nearest to the central one, in the same two ways. Those that are left are held against each other, in blocks, unless the
+  triangle inequality forbids a link or they are in one component already.
+A block has about BLOCK nodes and BLOCK_BYTES bytes (one text is not divided), so a large set is many even rows.
 
-So every pair that shares a bucket and has s >= threshold is in one class; sharing one bucket is enough.
+So every pair that shares a bucket, agrees in the sketch and has s >= threshold is in one class; sharing one bucket is enough.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, small, stage_table
+from .common import Scratch, ship, small
 from .components import components
+from .words import mix
 
 _EPS = 1e-9
+#: A set that is decided in one row.
+SET_NODES, SET_BYTES = 64, 4 << 20
 #: Nodes of a side that are held against those of another at once.
-BLOCK = 256
-
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Bits in which the sketches of two candidates differ at most.
+MOST_APART = 18
+#: Keys that a task holds at once.
+RANGE_KEYS = 2_000_000
+#: Rows that are far from the most central node of their set, up to which they are held against each other at once.
+DIRECT_ROWS = 50_000
+#: Texts whose features are made at once, in bytes.
+FEATURE_BYTES = 1 << 20
+#: Nodes whose components a task remembers.
+REMEMBERED = 500_000
+_LINKS = "x long, y long, s double"
+_ROW = ("nid", "d", "root", "text", "sketch")
+
+
+def sketches(z: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first 64 places of signatures [n, m], as a word each."""
+    return np.packbits((z[:, :64] & z.dtype.type(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """The keys that several nodes have. nodes: (nid, bands array<long>), repeats allowed.
+
+    A task deals its keys into ranges and sends each range as one run of bytes, so a key costs twelve bytes and no row. The task
+    that has a range keeps one entry a key, the least and the largest node's hash, however many nodes have the key.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    total = nodes.select(F.sum(F.size("bands"))).first()[0] or 0
+    tasks = max(1, min(20_000, max(-(-total // RANGE_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")) * bool(total > RANGE_KEYS // 8))))
+    bits = min(16, (4 * tasks - 1).bit_length())
+
+    def deal(batches):
+        keys, nodes, held = [], [], 0
+
+        def dealt():
+            k, n = np.concatenate(keys), np.concatenate(nodes)
+            at = (k >> np.uint64(64 - bits)).astype(np.uint16)
+            order = np.argsort(at, kind="stable")
+            k, n, at = k[order], n[order], at[order]
+            cut = np.flatnonzero(np.diff(at, prepend=-1, append=-1).astype(bool))[: len(at) + 1].tolist()
+            for i in range(0, len(cut) - 1, 256):
+                part = list(zip(cut[i : i + 257][:-1], cut[i : i + 257][1:], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[x]) for x, _ in part], pa.int32()), pa.array([k[x:y].tobytes() for x, y in part], pa.binary()), pa.array([n[x:y].tobytes() for x, y in part], pa.binary())], names=["range", "keys", "nodes"])
 
-def buckets(rows: DataFrame, name: str) -> DataFrame:
-    """(key, nid, rep) of the keys that several nodes have, rep the key's most central node. rows: (key, nid), repeats allowed."""
-    shared = stage_table(rows.groupBy("key").agg(F.min("nid").alias("a"), F.max("nid").alias("b")).where("a != b").select("key"), f"{name}-shared")
-    own = compact(stage_table(rows.join(small(shared, shared.count()), "key").distinct(), f"{name}-rows"))
-    return compact(stage_table(_central(own), f"{name}-members"))
+        for b in batches:
+            own = b.column(1)
+            size = np.diff(own.offsets.to_numpy(zero_copy_only=False))
+            keys.append(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            nodes.append(np.repeat((mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(32)).astype(np.uint32), size))
+            held += len(keys[-1])
+            if held >= RANGE_KEYS:
+                yield from dealt()
+                keys, nodes, held = [], [], 0
+        if held:
+            yield from dealt()
+
+    def several(batches):
+        keys, least, most, held = [], [], [], 0
+
+        def one_each():
+            k = np.concatenate(keys)
+            order = np.argsort(k)
+            k = k[order]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            return k[first], np.minimum.reduceat(np.concatenate(least)[order], first), np.maximum.reduceat(np.concatenate(most)[order], first)
 
+        for b in batches:
+            for k, n in zip(b.column(1), b.column(2), strict=True):
+                keys.append(np.frombuffer(k.as_buffer(), np.uint64))
+                least.append(np.frombuffer(n.as_buffer(), np.uint32))
+                most.append(least[-1])
+                held += len(keys[-1])
+                if held > RANGE_KEYS + (len(keys[0]) if len(keys) > 1 else 0):
+                    keys, least, most = ([x] for x in one_each())
+                    held = len(keys[0])
+        if held:
+            k, x, y = one_each()
+            k = k[x != y].view(np.int64)
+            for i in range(0, len(k), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)])], names=["key"])
+
+    dealt = nodes.select("nid", "bands").mapInArrow(deal, "range int, keys binary, nodes binary").repartition(tasks, "range")
+    return dealt.mapInArrow(several, "key long")
+
+
+def buckets(nodes: DataFrame, name: str) -> DataFrame:
+    """(key, nid, sketch, low) of one key for each set of several candidates that some key has; low: the set's least node.
+
+    nodes: (nid, sketch, bands array<long>), repeats allowed. A null sketch agrees with all. Keys of over SET_NODES nodes are not
+    searched for nodes without a candidate.
+    """
+    s = Scratch(nodes.sparkSession)
+    shared = s(shared_keys(nodes), f"{name}-shared")
+    rows = nodes.select("nid", "sketch", F.explode("bands").alias("key"))
+    own = s(rows.join(small(shared, shared.count()), "key", "left_semi"), f"{name}-rows")
+    large = s(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SET_NODES).select("key"), f"{name}-large")
+    n = large.count()
+    few = own.join(small(large, n), "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("nid", "sketch")).alias("r"))  # SET_NODES at most
+    agree = f"x.nid != y.nid and coalesce(bit_count(x.sketch ^ y.sketch) <= {MOST_APART}, true)"
+    few = few.select("key", F.explode(F.expr(f"filter(r, x -> exists(r, y -> {agree}))")).alias("x")).select("key", "x.nid", "x.sketch")
+    own = s(few.union(own.join(small(large, n), "key", "left_semi").select("key", "nid", "sketch").distinct()), f"{name}-near")
+    sums = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("low"), F.bit_xor(F.xxhash64("nid")).alias("p"), F.bit_xor(F.xxhash64("nid", F.lit(7))).alias("q"))
+    one = s(sums.groupBy("n", "low", "p", "q").agg(F.min("key").alias("key")).select("key", "low"), f"{name}-sets")
+    members = s(own.join(small(one, one.count()), "key"), f"{name}-members")
+    s.drop(members)
+    return members
+
+
+def _elected(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(rep, nid) of the keys of several components: rep is the key's node that has most of these keys; keys of one rep are one set."""
+    nodes = members.groupBy("nid").agg(F.collect_list("key").alias("keys"))  # a node has a key for each band at most
+    each = _rooted(nodes, known).select("nid", "root", F.size("keys").alias("c"), F.explode("keys").alias("key"))
+    reps = each.groupBy("key").agg(F.max(F.struct("c", "nid")).alias("r"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    reps = reps.where("r0 != r1").select("key", F.col("r.nid").alias("rep"))
+    return each.join(reps, "key").select("rep", "nid").distinct()
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["x", "y", "s"])
+
+
+class _Forest:
+    """Components of the nodes seen so far, by union-find."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, k: int) -> int:
+        up = self.up
+        while (p := up.get(k, k)) != k:
+            up[k] = k = up.get(p, p)
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            if len(self.up) > REMEMBERED:  # only forgets what need not be computed again
+                self.up.clear()
+            self.up[a] = b
+        return a != b
+
+
+def _set_links(members: DataFrame, texts: DataFrame, features, similarity, threshold: float) -> DataFrame:
+    """(x, y, s) of links that make the components of each key's nodes. members: (key, nid, low), of small sets.
+
+    A node is the least of a set for each band at most, so sets dealt by it are even, and sets of one family mostly meet.
+    """
+    far = 1 - threshold
+    rows = members.join(texts, "nid").repartition("low").groupBy("low", "key").agg(F.collect_list(F.struct("nid", "text", "sketch")).alias("rows")).select("rows")  # SET_NODES, SET_BYTES at most
 
-def _central(own: DataFrame) -> DataFrame:
-    """own (key, nid) with rep, the key's node that meets most others in all its buckets."""
-    size = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    meets = own.join(size, "key").groupBy("nid").agg(F.sum("n").alias("c"))
-    central = own.join(meets, "nid")
-    most = central.groupBy("key").agg(F.max("c").alias("c"))
-    reps = central.join(most, ["key", "c"]).groupBy("key").agg(F.min("nid").alias("rep"))
-    return own.join(reps, "key").select("key", "nid", "rep")
+    def run(batches):
+        forest = _Forest()
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            ends = np.diff(lists.offsets.to_numpy(zero_copy_only=False)).cumsum().tolist()
+            ids, sketch = flat.field(0).to_pylist(), flat.field(2).to_pylist()
+            sets = [range(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            need = {ids[k]: k for own in sets if len({forest.top(ids[k]) for k in own}) > 1 for k in own}
+            made = _features_of(flat.field(1), need, features)
+            out = []
+            for own in sets:
+                nodes = [k for _, k in sorted((ids[k], k) for k in own)]
+                if len({forest.top(ids[k]) for k in nodes}) < 2:
+                    continue
+                d: dict[int, float] = {}
+                for i in range(len(nodes)):
+                    for j in range(i + 1, len(nodes)):
+                        x, y = nodes[i], nodes[j]
+                        if i and x in d and y in d and abs(d[x] - d[y]) > far + _EPS or not _agree(sketch[x], sketch[y]) or forest.top(ids[x]) == forest.top(ids[y]):
+                            continue
+                        s = similarity(*made[ids[x]], *made[ids[y]])
+                        if not i:
+                            d[y] = 1 - s
+                        if s >= threshold - _EPS:
+                            forest.join(ids[x], ids[y])
+                            out.append((ids[y], ids[x], s))
+            yield _batch(out)
+
+    return rows.mapInArrow(run, _LINKS)
+
+
+def _agree(a: int | None, b: int | None) -> bool:
+    return a is None or b is None or ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= MOST_APART
+
+
+def _features_of(texts: pa.Array, need: dict[int, int], features) -> dict[int, tuple]:
+    """The features of the texts at the places that need has by node, made FEATURE_BYTES at a time."""
+    made, nodes, held, size = {}, [], [], 0
+    for n, k in [*need.items(), (None, -1)]:
+        if n is not None:
+            nodes.append(n)
+            held.append(texts[k].as_py())
+            size += len(held[-1])
+        if held and (n is None or size >= FEATURE_BYTES):
+            made.update(zip(nodes, features(held), strict=True))
+            nodes, held, size = [], [], 0
+    return made
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, features, similarity) -> DataFrame:
-    """pairs (x, y) with s, from texts (nid, text). features: text -> arrays; similarity: their arrays -> s."""
-    both = pairs.join(texts.select(F.col("nid").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("nid").alias("y"), F.col("text").alias("ty")), "y")
+    """pairs (x, y) with s, from texts (nid, text, size). features: texts -> arrays of each; similarity: their arrays -> s.
+
+    The x of each y are dealt into blocks, a row each with the text of y, so a y of many x is many even rows.
+    """
+    sized = pairs.join(texts.select(F.col("nid").alias("x"), "text", "size"), "x")
+    n = pairs.join(texts.select(F.col("nid").alias("x"), "size"), "x").groupBy("y").agg(_blocks().alias("n"))
+    blocks = sized.join(n, "y").groupBy("y", F.pmod(F.xxhash64("x"), "n").alias("i")).agg(F.collect_list(F.struct("x", "text")).alias("rows"))
+    both = blocks.join(texts.select(F.col("nid").alias("y"), F.col("text").alias("ty")), "y").select("y", "ty", "rows")
 
     def run(batches):
-        known: dict[int, tuple] = {}
+        for batch in batches:
+            for one_y, one_text, one_rows in zip(*batch.columns[:3], strict=True):
+                y, rows = one_y.as_py(), one_rows.as_py()
+                fy, *found = features([one_text.as_py(), *[r["text"] for r in rows]])
+                yield _batch([(r["x"], y, similarity(*f, *fy)) for r, f in zip(rows, found, strict=True)])
 
-        def of(nid, text):
-            if nid not in known:
-                if len(known) >= 64:
-                    known.pop(next(iter(known)))
-                known[nid] = features(text)
-            return known[nid]
+    return both.mapInArrow(run, _LINKS)
 
-        for b in batches:
-            out = []
-            for x, y, tx, ty in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
-                fy = of(y, ty)
-                out.append(similarity(*(of(x, tx) if x in known else features(tx)), *fy))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["x", "y", "s"])
 
-    return both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long, s double")
+def _blocks():
+    """An aggregate: how many blocks a group of rows with a column size is dealt into."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1).cast("long"))
 
 
-def _distances(members: DataFrame, done: DataFrame, known: DataFrame) -> DataFrame:
-    """members (key, nid, rep) with root and the distance d from rep."""
-    at = done.select(F.col("x").alias("nid"), F.col("y").alias("rep"), (1 - F.col("s")).alias("d"))
-    at = at.union(done.select(F.col("y").alias("nid"), F.col("x").alias("rep"), (1 - F.col("s")).alias("d"))).distinct()
-    placed = members.join(at, ["nid", "rep"], "left").withColumn("d", F.when(F.col("nid") == F.col("rep"), F.lit(0.0)).otherwise(F.col("d")))
-    return placed.join(known, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+def _rooted(members: DataFrame, known: DataFrame) -> DataFrame:
+    return members.join(known, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """Those in buckets of more than one component."""
-    keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    return placed.join(keys, "key")
+    """Those in sets of more than one component."""
+    reps = placed.groupBy("rep").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("rep")
+    return placed.join(reps, "rep")
+
 
+def _compare(candidates, left, right, features, similarity, threshold: float, forest: _Forest) -> list[tuple]:
+    """Links among candidates (i, j) of two lists of rows, in order, without those of one component. Features are made once a row."""
+    made: dict[int, tuple] = {}
 
-def _star(members: DataFrame) -> DataFrame:
-    return members.where("nid != rep").select(F.greatest("nid", "rep").alias("x"), F.least("nid", "rep").alias("y"))
+    def of(r):
+        if r["nid"] not in made:
+            made[r["nid"]] = features([r["text"]])[0]
+        return made[r["nid"]]
+
+    out = []
+    for i, j in candidates:
+        x, y = left[i], right[j]
+        if forest.top(x["root"]) != forest.top(y["root"]) and _agree(x["sketch"], y["sketch"]) and (s := similarity(*of(x), *of(y))) >= threshold - _EPS:
+            forest.join(x["root"], y["root"])
+            out.append((x["nid"], y["nid"], s))
+    return out
 
 
 def _ring_links(placed: DataFrame, texts: DataFrame, features, similarity, threshold: float) -> DataFrame:
     """(x, y, s) of the links that a star can miss between a node apart from rep and one near it.
 
-    Both sides of a rep are dealt into blocks of about BLOCK nodes, and each pair of blocks is one row, so a large group is many
-    even rows. In such a row only pairs that share a key, are in different components and are allowed by the triangle inequality
-    are computed, and only links come out.
+    placed: (rep, nid, d, root). Both sides of a rep are dealt into blocks, and each pair of blocks is one row. In such a row only
+    pairs that are in different components and are allowed by the triangle inequality are computed, and only links come out.
     """
     far = 1 - threshold
-    sides = placed.where(F.col("d") <= 2 * far + _EPS).withColumn("apart", F.col("d") > far + _EPS)
-    by = compact(stage_table(sides.groupBy("rep", "nid", "apart").agg(F.min("d").alias("d"), F.min("root").alias("root"), F.collect_set("key").alias("keys")), "link-ring"))  # a node has a key for each band at most
-    n = by.groupBy("rep").agg(F.ceil(F.count_if("apart") / BLOCK).alias("na"), F.ceil(F.count_if(~F.col("apart")) / BLOCK).alias("nn")).where("na > 0 and nn > 0")
-    one = F.struct("nid", "d", "root", "keys", "text")
+    by = placed.where(F.col("d") <= 2 * far + _EPS).withColumn("apart", F.col("d") > far + _EPS).join(texts, "nid")
+    n = by.groupBy("rep", "apart").agg(_blocks().alias("n"))
+    n = n.where("apart").select("rep", F.col("n").alias("na")).join(n.where("not apart").select("rep", F.col("n").alias("nn")), "rep")
 
     def side(apart: bool, own: str, other: str) -> DataFrame:
-        rows = by.where(F.col("apart") == apart).join(texts, "nid").join(n, "rep").withColumn("own", F.pmod(F.xxhash64("nid"), F.col(own)))
-        blocks = rows.groupBy("rep", "own", other).agg(F.collect_list(one).alias("rows"))
+        rows = by.where(F.col("apart") == apart).join(n, "rep").withColumn("own", F.pmod(F.xxhash64("nid"), F.col(own)))
+        blocks = rows.groupBy("rep", "own", other).agg(F.collect_list(F.struct(*_ROW)).alias("rows"))
         return blocks.select("rep", "own", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("with"))
 
     a = side(True, "na", "nn").select("rep", F.col("own").alias("i"), F.col("with").alias("j"), F.col("rows").alias("a"))
@@ -109,102 +309,82 @@ def _ring_links(placed: DataFrame, texts: DataFrame, features, similarity, thres
     def run(batches):
         for batch in batches:
             for one_a, one_b in zip(batch.column(0), batch.column(1), strict=True):
-                left, right, out, known = one_a.as_py(), one_b.as_py(), [], {}
-                holders: dict[int, list[int]] = {}
-                for k, r in enumerate(right):
-                    for key in r["keys"]:
-                        holders.setdefault(key, []).append(k)
-                for x in left:
-                    fx = None
-                    for k in {k for key in x["keys"] for k in holders.get(key, ())}:
-                        y = right[k]
-                        if x["root"] != y["root"] and y["d"] >= x["d"] - far - _EPS:
-                            fx = fx or features(x["text"])
-                            if k not in known:
-                                known[k] = features(y["text"])
-                            if (s := similarity(*fx, *known[k])) >= threshold - _EPS:
-                                out.append((max(x["nid"], y["nid"]), min(x["nid"], y["nid"]), s))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["x", "y", "s"])
-
-    return compact(stage_table(a.join(b, ["rep", "i", "j"]).select("a", "b").mapInArrow(run, "x long, y long, s double"), "link-ring-links"))
+                left, right = one_a.as_py(), one_b.as_py()
+                pairs = ((i, k) for i, x in enumerate(left) for k, y in enumerate(right) if y["d"] >= x["d"] - far - _EPS)
+                yield _batch(_compare(pairs, left, right, features, similarity, threshold, _Forest()))
+
+    return a.join(b, ["rep", "i", "j"]).select("a", "b").mapInArrow(run, _LINKS)
 
 
 def _rest_links(rest: DataFrame, texts: DataFrame, features, similarity, threshold: float) -> DataFrame:
-    """(x, y, s) of links between any two nodes of a key, of rest (key, nid, d, root).
+    """(x, y, s) of links between any two nodes of a set, of rest (rep, nid, d, root).
 
-    Each key's nodes are dealt into blocks of about BLOCK, and each pair of blocks is one row. A pair is computed in the least key
-    it shares, if its components differ, links found in the row included, and the triangle inequality allows a link.
+    Each set's nodes are dealt into blocks, and each pair of blocks is one row. A pair is computed if its components differ, links
+    found in the row included, and the triangle inequality allows a link.
     """
     far = 1 - threshold
-    rest = compact(stage_table(rest.select("key", "nid", "d", "root").distinct(), "link-rest"))
-    keys = rest.groupBy("nid").agg(F.collect_set("key").alias("keys"))  # a node has a key for each band at most
-    n = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    rows = rest.join(keys, "nid").join(n, "key").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("n"))).join(texts, "nid")
-    blocks = rows.groupBy("key", "own", "n").agg(F.collect_list(F.struct("nid", "d", "root", "keys", "text")).alias("rows"))
-    a = blocks.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("j"), F.col("rows").alias("a"))
-    b = blocks.where("own > 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.col("rows").alias("b"))
+    own = rest.join(texts, "nid")
+    n = own.groupBy("rep").agg(_blocks().alias("n"))
+    rows = own.join(n, "rep").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("n")))
+    blocks = rows.groupBy("rep", "own", "n").agg(F.collect_list(F.struct(*_ROW)).alias("rows"))
+    a = blocks.select("rep", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("j"), F.col("rows").alias("a"))
+    b = blocks.where("own > 0").select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.col("rows").alias("b"))
 
     def run(batches):
         for batch in batches:
-            for one_key, one_a, one_b in zip(*batch.columns[:3], strict=True):
-                key, left, right, out, known, up = one_key.as_py(), one_a.as_py(), one_b.as_py(), [], {}, {}
+            for one_a, one_b in zip(*batch.columns[:2], strict=True):
+                left, right = one_a.as_py(), one_b.as_py()
                 same = right is None
                 left.sort(key=lambda r: r["d"])
                 right = left if same else sorted(right, key=lambda r: r["d"])
-                for r in left if same else left + right:
-                    r["keys"] = frozenset(r["keys"])
-
-                def top(r):
-                    while r in up:
-                        r = up[r]
-                    return r
 
-                def of(r):
-                    if r["nid"] not in known:
-                        known[r["nid"]] = features(r["text"])
-                    return known[r["nid"]]
+                def pairs(left=left, right=right, same=same):
+                    start = 0
+                    for k, x in enumerate(left):
+                        while start < len(right) and right[start]["d"] < x["d"] - far - _EPS:
+                            start += 1
+                        for j in range(k + 1 if same else start, len(right)):
+                            if right[j]["d"] > x["d"] + far + _EPS:
+                                break
+                            yield k, j
 
-                start = 0
-                for k, x in enumerate(left):
-                    while start < len(right) and right[start]["d"] < x["d"] - far - _EPS:
-                        start += 1
-                    for y in right[k + 1 if same else start :]:
-                        if y["d"] > x["d"] + far + _EPS:
-                            break
-                        if (rx := top(x["root"])) != (ry := top(y["root"])) and min(x["keys"] & y["keys"]) == key and (s := similarity(*of(x), *of(y))) >= threshold - _EPS:
-                            out.append((max(x["nid"], y["nid"]), min(x["nid"], y["nid"]), s))
-                            up[rx] = ry
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["x", "y", "s"])
+                yield _batch(_compare(pairs(), left, right, features, similarity, threshold, _Forest()))
 
-    return compact(stage_table(a.join(b, ["key", "i", "j"], "left").select("key", "a", "b").mapInArrow(run, "x long, y long, s double"), "link-rest-links"))
-
-
-def _untested(pairs: DataFrame, done: DataFrame) -> DataFrame:
-    return pairs.distinct().join(done.select("x", "y"), ["x", "y"], "left_anti")
+    return a.join(b, ["rep", "i", "j"], "left").select("a", "b").mapInArrow(run, _LINKS)
 
 
 def link(members: DataFrame, texts: DataFrame, features, similarity, threshold: float) -> DataFrame:
-    """(nid, root) of all nodes that have a link. members: (key, nid, rep) as buckets() makes them; texts: (nid, text)."""
-    far = 1 - threshold
+    """(nid, root) of all nodes that have a link. members: (key, nid, low) as buckets() makes them; texts: (nid, text, sketch).
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        return compact(stage_table(similarities(pairs, texts, features, similarity), "link-tested"))
-
-    def classes(done: DataFrame) -> DataFrame:
-        links = done.where(F.col("s") >= threshold - _EPS).select("x", "y")
-        return compact(stage_table(components(links, "x", "y").select(F.col("node").alias("nid"), "root"), "link-labels"))
+    features: a list of texts -> a tuple of arrays for each; similarity: the arrays of two texts -> s.
+    """
+    far, s, members = 1 - threshold, Scratch(members.sparkSession), members.select("key", "nid", "low")
+    texts = texts.withColumn("size", F.octet_length("text").cast("long"))
 
-    done = tested(_star(members).distinct())
-    known = classes(done)
-    placed = compact(stage_table(_mixed(_distances(members, done, known)), "link-placed"))
-    done = done.union(_ring_links(placed, texts, features, similarity, threshold))
+    def classes(links: DataFrame) -> DataFrame:
+        return s(components(links.where(F.col("s") >= threshold - _EPS).select("x", "y"), "x", "y").select(F.col("node").alias("nid"), "root"), "link-labels")
 
-    own = compact(stage_table(_mixed(placed.where(F.col("d") > far + _EPS)).select("key", "nid").distinct(), "link-apart"))
-    members = compact(stage_table(_central(own), "link-members"))
-    pairs = stage_table(_untested(_star(members), done), "link-pairs")
-    done = done.union(tested(pairs))
+    sizes = members.join(texts.select("nid", "size"), "nid").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    large = s(sizes.where((F.col("n") > SET_NODES) | (F.col("bytes") > SET_BYTES) & (F.col("n") > 2)).select("key"), "link-large")
+    n = large.count()
+    done = s(_set_links(members.join(small(large, n), "key", "left_anti") if n else members, texts, features, similarity, threshold), "link-sets")
     known = classes(done)
-    placed = compact(stage_table(_mixed(_distances(members, done, known)), "link-placed"))
-    done = done.union(_ring_links(placed, texts, features, similarity, threshold))
-    rest = _mixed(placed.where(F.col("d") > far + _EPS))
-    return classes(done.union(_rest_links(rest, texts, features, similarity, threshold)))
+    if n:
+        members = s(_elected(members.join(small(large, n), "key", "left_semi"), known), "link-members")
+        for last in (False, True):
+            tested = s(similarities(members.where("nid != rep").select(F.col("nid").alias("x"), F.col("rep").alias("y")), texts, features, similarity), "link-tested")
+            done = done.union(tested)
+            known = classes(done)
+            placed = tested.select(F.col("y").alias("rep"), F.col("x").alias("nid"), (1 - F.col("s")).alias("d"))
+            placed = placed.union(tested.select(F.col("y").alias("rep"), F.col("y").alias("nid"), F.lit(0.0).alias("d")).distinct())
+            placed = s(_mixed(_rooted(placed, known)).select("rep", "nid", "d", "root"), "link-placed")
+            done = done.union(s(_ring_links(placed, texts, features, similarity, threshold), "link-ring"))
+            apart = s(_mixed(placed.where(F.col("d") > far + _EPS)).select("rep", "nid", "d"), "link-apart")
+            if last or apart.count() <= DIRECT_ROWS:
+                break
+            central = apart.groupBy("rep").agg(F.min(F.struct("d", "nid")).alias("b")).select("rep", F.col("b.nid").alias("next"))
+            members = s(apart.join(central, "rep").select(F.col("next").alias("rep"), "nid").distinct(), "link-members")
+        rest = s(_rooted(apart, classes(done)).select("rep", "nid", "d", "root"), "link-rest")
+        known = classes(done.union(s(_rest_links(rest, texts, features, similarity, threshold), "link-rest-links")))
+    s.drop(known)
+    return known

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, ship, small, stage_table, text_buffers
-from .linking import buckets, link
+from .linking import buckets, link, sketches
 from .words import WORD_P, Words, mix, powers, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -108,33 +108,42 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
 
 
 def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """docs (doc_id, text, th) -> doc_id, th, s1, s2, n_words, bands."""
+    """docs (doc_id, text, th) -> doc_id, th, s1, s2, n_words, sketch, bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             data, offsets = text_buffers(b.column(1))
-            s1, s2, n, keys = [], [], [], []
+            s1, s2, n, keys, sketch = [], [], [], [], []
             for i, j in chunks(offsets):
                 w = words(data, offsets[i : j + 1])
                 p, q = sequence_hash(w)
                 s1.append(p)
                 s2.append(q)
                 n.append(w.counts())
-                keys.append(band_keys(prob_min_hash(*shingles(w), w.n_rows, bands * rows), bands, rows))
+                z = prob_min_hash(*shingles(w), w.n_rows, bands * rows)
+                sketch.append(sketches(z))
+                keys.append(band_keys(z, bands, rows))
             if not n:
                 continue
             count = np.concatenate(n)
             flat = np.concatenate(keys)[count > 0].ravel().view(np.int64)
             ends = np.concatenate(([0], np.cumsum(count > 0) * bands))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.concatenate(s1).view(np.int64)), pa.array(np.concatenate(s2).view(np.int64)), pa.array(count), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "th", "s1", "s2", "n_words", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.concatenate(s1).view(np.int64)), pa.array(np.concatenate(s2).view(np.int64)), pa.array(count), pa.array(np.concatenate(sketch)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "th", "s1", "s2", "n_words", "sketch", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, s1 long, s2 long, n_words long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, s1 long, s2 long, n_words long, sketch long, bands array<long>")
+
+
+def weighted_sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, sorted, and their weights."""
+    raw = [t.encode() for t in texts]
+    row, h, weight = shingles(words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    cut = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+    return [(h[a:b], weight[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def weighted_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return shingles(words(raw, np.array([0, len(raw)])))[1:]
+    return weighted_sets([text])[0]
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -150,15 +159,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = sig.where("n_words > 0")
     first = full.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
     nodes = stage_table(first.select("s1", "s2", F.col("k.doc_id").alias("doc_id"), F.col("k.th").alias("th"), F.monotonically_increasing_id().alias("nid")), "near-nodes")
-    own = full.select("doc_id", "th", "s1", "s2", "bands").join(nodes.select("nid", "s1", "s2", F.col("doc_id").alias("d"), F.col("th").alias("h")), ["s1", "s2"])
-    own = own.where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("nid", F.explode("bands").alias("key"))
-    rows_of = stage_table(own, "near-bands")
-    members = buckets(rows_of, "near")
-
-    wanted = stage_table(members.select("nid").distinct().join(nodes.select("nid", "doc_id", "th"), "nid"), "near-wanted")
-    some = small(wanted.select("nid", F.col("doc_id").alias("d"), F.col("th").alias("h")), wanted.count())
-    texts = plain.join(some, (plain["th"] == some["h"]) & plain["doc_id"].eqNullSafe(some["d"])).select("nid", "text")
-    known = link(members, stage_table(texts, "near-texts"), weighted_shingles, probability_jaccard, threshold)
+    own = full.select("doc_id", "th", "s1", "s2", "sketch", "bands").join(nodes.select("nid", "s1", "s2", F.col("doc_id").alias("d"), F.col("th").alias("h")), ["s1", "s2"])
+    own = own.where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("nid", "sketch", "bands")
+    members = buckets(stage_table(own, "near-bands"), "near")
+
+    wanted = stage_table(members.select("nid", "sketch").distinct().join(nodes.select("nid", "doc_id", "th"), "nid"), "near-wanted")
+    some = small(wanted.select("nid", "sketch", F.col("doc_id").alias("d"), F.col("th").alias("h")), wanted.count())
+    texts = plain.join(some, (plain["th"] == some["h"]) & plain["doc_id"].eqNullSafe(some["d"])).select("nid", "text", "sketch").dropDuplicates(["nid"])
+    known = link(members, stage_table(texts, "near-texts"), weighted_sets, probability_jaccard, threshold)
     by_node = nodes.select("s1", "s2", "nid").join(known, "nid", "left").select("s1", "s2", F.coalesce("root", "nid").alias("root"))
     each = stage_table(full.select("doc_id", "th", "s1", "s2", "n_words").join(by_node, ["s1", "s2"]).select("doc_id", "th", "n_words", "root"), "near-rows")
     best = each.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
@@ -174,6 +182,3 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = small(gone, found.where("not kept").count())
     th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_wg_d"]) & (th == gone["_wg_t"]), "left_anti")
-
-
-
