@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import c
-from .storage import stage
+from .storage import drop, stage
 
 
 def seeds(queries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,10 +47,12 @@ def trees(roots: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
         live = frontier.join(done, "root", "left").where("bound is null or cost < bound").select("root", "node", "cost")
         grown = live.join(step, "node").groupBy("root", F.col("end").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), "edge_id", F.col("node").alias("prev"))).alias("b"))
         old = known.select("root", "node", F.col("cost").alias("old"))
-        frontier = stage(grown.select("root", "node", "b.cost", "b.edge_id", "b.prev").join(old, ["root", "node"], "left").where("old is null or cost < old").drop("old"), "tree-frontier")
+        last, frontier = frontier, stage(grown.select("root", "node", "b.cost", "b.edge_id", "b.prev").join(old, ["root", "node"], "left").where("old is null or cost < old").drop("old"), "tree-frontier")
         if frontier.isEmpty():
             return known
-        known = stage(known.join(frontier.select("root", "node"), ["root", "node"], "left_anti").unionByName(frontier), "tree")
+        before, known = known, stage(known.join(frontier.select("root", "node"), ["root", "node"], "left_anti").unionByName(frontier), "tree")
+        drop(last)
+        drop(before)
 
 
 def turned_round(edges: DataFrame) -> DataFrame:
