@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -13,40 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-DEFAULT_SHARED = "file:///tmp/checkpoints"
+from ..operators.storage import drop as drop_table
+from ..operators.storage import new_path  # noqa: F401  for the operators
+from ..operators.storage import stage as stage_table
+
 #: Text bytes handled at once inside a Python task.
 CHUNK_BYTES = 1 << 20
 #: Narrow rows (a few numbers each) that may be broadcast; beyond, a join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see, as a URI."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = DEFAULT_SHARED
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/waygrid/{name}-{uuid.uuid4().hex}"
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and outlives executors."""
-    spark, at = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm, p = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    del jvm
-
-
 class Scratch:
     """Stage tables that go when drop() is called, but for those that it is told to keep."""
 
@@ -65,13 +40,6 @@ class Scratch:
         self.made = []
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes the files of a table made by stage_table() that no later plan reads."""
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/waygrid/" in at:
-            remove(df.sparkSession, at)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once, and keeps Arrow batches small."""
     sc = spark.sparkContext
@@ -134,8 +102,3 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df of narrow rows, to be broadcast if it has BROADCAST_ROWS at most."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def compact(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A stage table of narrow rows as one partition if it has BROADCAST_ROWS at most: what follows then needs no shuffle."""
-    return df.coalesce(1) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

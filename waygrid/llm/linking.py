@@ -53,11 +53,23 @@ def sketches(z: np.ndarray) -> np.ndarray:
     return np.packbits((z[:, :64] & z.dtype.type(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
 
 
+def _six(x: np.ndarray) -> bytes:
+    """Words of 48 bits in six bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """The keys that several nodes have. nodes: (nid, bands array<long>), repeats allowed.
+    """(top), the upper 48 bits of the keys that several nodes have. nodes: (nid, bands array<long>), repeats allowed.
 
-    A task deals its keys into ranges and sends each range as one run of bytes, so a key costs twelve bytes and no row. The task
-    that has a range keeps one entry a key, the least and the largest node's hash, however many nodes have the key.
+    A task deals its keys into ranges and sends each range as one run of bytes, so a key costs eight bytes and no row: these 48 bits
+    and 16 bits of its node's hash. Equal bits of different keys or nodes cost a few rows too many, or one key in 65,536 of a pair of
+    nodes. The task that has a range keeps one entry a key, the least and the largest node's hash, however many nodes have the key.
     """
     spark = nodes.sparkSession
     ship(spark)
@@ -70,19 +82,19 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
         def dealt():
             k, n = np.concatenate(keys), np.concatenate(nodes)
-            at = (k >> np.uint64(64 - bits)).astype(np.uint16)
+            at = (k >> np.uint64(48 - bits)).astype(np.uint16)
             order = np.argsort(at, kind="stable")
             k, n, at = k[order], n[order], at[order]
             cut = np.flatnonzero(np.diff(at, prepend=-1, append=-1).astype(bool))[: len(at) + 1].tolist()
             for i in range(0, len(cut) - 1, 256):
                 part = list(zip(cut[i : i + 257][:-1], cut[i : i + 257][1:], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([int(at[x]) for x, _ in part], pa.int32()), pa.array([k[x:y].tobytes() for x, y in part], pa.binary()), pa.array([n[x:y].tobytes() for x, y in part], pa.binary())], names=["range", "keys", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[x]) for x, _ in part], pa.int32()), pa.array([_six(k[x:y]) for x, y in part], pa.binary()), pa.array([n[x:y].tobytes() for x, y in part], pa.binary())], names=["range", "keys", "nodes"])
 
         for b in batches:
             own = b.column(1)
             size = np.diff(own.offsets.to_numpy(zero_copy_only=False))
-            keys.append(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            nodes.append(np.repeat((mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(32)).astype(np.uint32), size))
+            keys.append(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(16))
+            nodes.append(np.repeat((mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(48)).astype(np.uint16), size))
             held += len(keys[-1])
             if held >= RANGE_KEYS:
                 yield from dealt()
@@ -102,8 +114,8 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
         for b in batches:
             for k, n in zip(b.column(1), b.column(2), strict=True):
-                keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-                least.append(np.frombuffer(n.as_buffer(), np.uint32))
+                keys.append(_from_six(np.frombuffer(k.as_buffer(), np.uint8)))
+                least.append(np.frombuffer(n.as_buffer(), np.uint16))
                 most.append(least[-1])
                 held += len(keys[-1])
                 if held > RANGE_KEYS + (len(keys[0]) if len(keys) > 1 else 0):
@@ -113,10 +125,10 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
             k, x, y = one_each()
             k = k[x != y].view(np.int64)
             for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)])], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)])], names=["top"])
 
     dealt = nodes.select("nid", "bands").mapInArrow(deal, "range int, keys binary, nodes binary").repartition(tasks, "range")
-    return dealt.mapInArrow(several, "key long")
+    return dealt.mapInArrow(several, "top long")
 
 
 def buckets(nodes: DataFrame, name: str) -> DataFrame:
@@ -128,7 +140,8 @@ def buckets(nodes: DataFrame, name: str) -> DataFrame:
     s = Scratch(nodes.sparkSession)
     shared = s(shared_keys(nodes), f"{name}-shared")
     rows = nodes.select("nid", "sketch", F.explode("bands").alias("key"))
-    own = s(rows.join(small(shared, shared.count()), "key", "left_semi"), f"{name}-rows")
+    rows = rows.withColumn("top", F.shiftrightunsigned("key", 16)).join(small(shared, shared.count()), "top", "left_semi").drop("top")
+    own = s(rows, f"{name}-rows")
     large = s(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SET_NODES).select("key"), f"{name}-large")
     n = large.count()
     few = own.join(small(large, n), "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("nid", "sketch")).alias("r"))  # SET_NODES at most
@@ -364,7 +377,7 @@ def link(members: DataFrame, texts: DataFrame, features, similarity, threshold:
     def classes(links: DataFrame) -> DataFrame:
         return s(components(links.where(F.col("s") >= threshold - _EPS).select("x", "y"), "x", "y").select(F.col("node").alias("nid"), "root"), "link-labels")
 
-    sizes = members.join(texts.select("nid", "size"), "nid").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    sizes = members.join(small(texts.select("nid", "size"), texts.count()), "nid").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     large = s(sizes.where((F.col("n") > SET_NODES) | (F.col("bytes") > SET_BYTES) & (F.col("n") > 2)).select("key"), "link-large")
     n = large.count()
     done = s(_set_links(members.join(small(large, n), "key", "left_anti") if n else members, texts, features, similarity, threshold), "link-sets")
