@@ -15,7 +15,7 @@ def covering(points: DataFrame, polygons: DataFrame, cell: float = 0.1) -> DataF
     """
     low, high = (lambda f: F.array_min(F.transform("ring", lambda p: p[f]))), (lambda f: F.array_max(F.transform("ring", lambda p: p[f])))
     span = lambda f: F.explode(F.sequence(F.floor(low(f) / cell), F.floor(high(f) / cell)))
-    boxes = polygons.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    boxes = polygons.select("polygon_id", "ring", span("x").alias("cx")).select("polygon_id", "cx", span("y").alias("cy"))  # a ring is not copied into its cells
     at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    inside = at.join(boxes, ["cx", "cy"]).where(geo.winding("x", "y", F.col("ring")) != 0)
+    inside = at.join(boxes, ["cx", "cy"]).join(polygons.select("polygon_id", "ring"), "polygon_id").where(geo.winding("x", "y", F.col("ring")) != 0)
     return inside.groupBy("point_id").agg(F.min("polygon_id").alias("polygon_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, keys, scalar
-from ..operators import etl, graph, search, traffic
+from ..operators import etl, graph, search, sorting, traffic
 from ..operators.storage import new_path, stage
 from .q_graph import PATH, path
 from .q_route import COSTED, costed, queries
@@ -155,12 +155,8 @@ def agg18(spark, d):
 
 @query("srt01_external_sort", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders")
 def srt01(spark, d):
-    """Places of a whole sorted table without one task: a range sort, counts by partition, places within."""
-    o = stage(graph.table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").withColumn("part", F.spark_partition_id()), "sorted")
-    before = o.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition
-    w = Window.partitionBy("part").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    return o.join(F.broadcast(before), "part").select("o_orderkey", (F.col("base") + F.row_number().over(w)).alias("place"))
+    o = graph.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return sorting.places(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("srt06_stable_sign_sort", f"{GRAPH} SELECT edge_id, CAST(row_number() OVER (PARTITION BY from_node ORDER BY edge_id%4, edge_id) AS BIGINT) AS place FROM g_edge")

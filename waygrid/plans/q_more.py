@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys, scalar
 from ..functions.geo import milli
-from ..operators import components, costing, filters, graph, polygons, trip
+from ..operators import components, costing, filters, graph, polygons, sorting, trip
 from .q_geo import ENDS, ends
 from .q_graph import PATH, path
 from .q_route import leaving
@@ -170,7 +170,8 @@ def win13(spark, d):
 
 @query("srt05_total_order", f"{GRAPH} SELECT edge_id, CAST(row_number() OVER (PARTITION BY density ORDER BY road_class, to_node, edge_id) AS BIGINT) AS place FROM g_edge")
 def srt05(spark, d):
-    return graph.edges(spark, d).select("edge_id", F.row_number().over(Window.partitionBy("density").orderBy("road_class", "to_node", "edge_id")).cast("long").alias("place"))
+    e = graph.edges(spark, d).select("edge_id", "density", "road_class", "to_node")
+    return sorting.places(e, [F.col("road_class"), F.col("to_node"), F.col("edge_id")], "density").select("edge_id", "place")
 
 
 @query("srt12_lower_bound", f"{GRAPH}, b AS (SELECT from_node, min(length_m) AS m FROM g_edge GROUP BY 1) SELECT edge_id FROM g_edge JOIN b USING (from_node) WHERE length_m <= m*1.25e0")

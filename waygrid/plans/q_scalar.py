@@ -26,10 +26,10 @@ def prj01(spark, d):
 
 @query("prj02_cache_order", f"{PARTS} SELECT edge_id, CAST(row_number() OVER (PARTITION BY l ORDER BY {ID} & 33554431, i, edge_id) AS BIGINT) AS place FROM p")
 def prj02(spark, d):
-    from pyspark.sql import Window
+    from ..operators import sorting
 
-    g = parts(spark, d).withColumn("gid", keys.graph_id("t", "l", "i"))
-    return g.select("edge_id", F.row_number().over(Window.partitionBy("l").orderBy(keys.tile_base("gid"), "i", "edge_id")).cast("long").alias("place"))
+    g = parts(spark, d).select("edge_id", "l", "i", keys.tile_base(keys.graph_id("t", "l", "i")).alias("base"))
+    return sorting.places(g, [F.col("base"), F.col("i"), F.col("edge_id")], "l").select("edge_id", "place")
 
 
 @query("prj03_tile_base", f"{PARTS} SELECT edge_id, {ID} & 33554431 AS base, t AS tile, l AS level, i AS idx FROM p")

@@ -258,11 +258,16 @@ def jon28(spark, d):
 @query("jon42_valid_at", """WITH x AS (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) SELECT a.event_id, CAST(count(b.event_id) AS BIGINT) AS valid
 FROM x a JOIN x b ON b.event_type=a.event_type AND b.t <= a.t AND a.t < b.t + 600 GROUP BY a.event_id""")
 def jon42(spark, d):
-    """Events of a kind that are valid (ten minutes from their time) at an event: equal-width time bins make it an equi-join."""
+    """How many events of its kind are valid, ten minutes from their time, at each event: sums by second, then a range of seconds by day,
+    to which the last ten minutes of the day before are added."""
     x = graph.table(spark, d, "events").select("event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
-    a = x.select("event_id", "event_type", "t", F.explode(F.array(F.floor(F.col("t") / 600), F.floor(F.col("t") / 600) - 1)).alias("bin"))
-    b = x.select("event_type", F.col("t").alias("from"), F.floor(F.col("t") / 600).alias("bin"))
-    return a.join(b, ["event_type", "bin"]).where("`from` <= t and t < `from` + 600").groupBy("event_id").agg(F.count(F.lit(1)).alias("valid"))
+    sums = x.groupBy("event_type", "t").agg(F.count(F.lit(1)).alias("n"))
+    day = F.floor(F.col("t") / 86_400)
+    late = F.pmod("t", F.lit(86_400)) >= 86_400 - 600
+    days = sums.select("event_type", "t", "n", F.explode(F.when(late, F.array(day, day + 1)).otherwise(F.array(day))).alias("day"), day.alias("own"))
+    w = Window.partitionBy("event_type", "day").orderBy("t").rangeBetween(-599, 0)
+    valid = days.withColumn("valid", F.sum("n").over(w)).where("day = own").select("event_type", "t", "valid")
+    return x.join(valid, ["event_type", "t"]).select("event_id", "valid")
 
 
 @query("trf18_control_index", f"{GRAPH} SELECT from_node, to_node, road_class % 3 AS kind, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS edges FROM g_edge GROUP BY 1,2,3")
