@@ -90,3 +90,51 @@ def node_density(nodes: DataFrame, edges: DataFrame, cell: float = 0.02, meters_
     near = F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("k") + j).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = load.select("m", F.explode(near).alias("at")).groupBy("at.r", "at.k").agg(F.sum("m").alias("m"))
     return n.join(spread, ["r", "k"]).select("node_id", F.least(F.lit(most).cast("long"), F.floor(F.col("m") / meters_per_step)).alias("density"))
+
+
+#: The class from which on roads count alike at a stop, and the largest impact.
+LOW_CLASS, MOST_IMPACT = 5, 7
+
+
+def other_class(edges: DataFrame, transitions: DataFrame) -> DataFrame:
+    """transitions (node, own, other: two edges that leave the node) with best, the best class of the node's further edges but
+    LOW_CLASS at most, and further, whether there are any. edges: edge_id, from_node, road_class, roundabout (which counts two lower).
+
+    The three best edges of a node tell, as two of them at most are taken out.
+    """
+    rank = F.least(F.col("road_class") + F.when(F.col("roundabout"), 2).otherwise(0), F.lit(LOW_CLASS)).cast("int")
+    w = Window.partitionBy("node").orderBy("rank", "edge_id")
+    three = edges.select(F.col("from_node").alias("node"), "edge_id", rank.alias("rank")).withColumn("n", F.row_number().over(w)).where("n <= 3")
+    three = three.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "rank", "edge_id"))).alias("three"))
+    both = transitions.join(three, "node")
+    left = F.filter("three", lambda x: (x["edge_id"] != F.col("own")) & (x["edge_id"] != F.col("other")))
+    return both.withColumn("best", F.coalesce(F.get(left, F.lit(0))["rank"], F.lit(LOW_CLASS))).withColumn("further", F.size(left) > 0).drop("three")
+
+
+def stop_impact(turn, own: dict, other: dict, best, further, all_ramps, signal, edges_at_node, drive_on_right, u_turn, sharp_u_turn=None) -> Column:
+    """How hard it is to stop at a node on the way from one edge into another, 0 to 7.
+
+    own and other: road_class, use, roundabout, internal of the two edges; best, further: other_class(); turn: a kind of turn;
+    sharp_u_turn: a pencil-point or cycleway U-turn.
+    """
+    low = F.least(own["road_class"], F.lit(LOW_CLASS))
+    base = F.greatest(low - c(best) + 3, F.lit(0))
+    sharp, slight = c(turn).isin("sharp left", "sharp right", "reverse"), c(turn).isin("straight", "slight right", "slight left")
+    is_use = lambda e, kind: e["use"] == kind
+    less, half = F.greatest(base - 1, F.lit(0)), F.floor(base / 2).cast("int")
+    against = F.when(c(drive_on_right), c(turn).isin("sharp left", "left")).otherwise(c(turn).isin("sharp right", "right"))
+    against = against & (low != other["road_class"]) & ~is_use(other, "ramp") & ~is_use(other, "turn_channel")
+    rules = [
+        (c(all_ramps), F.when(sharp, base + 2).when(slight, half).otherwise(less)),
+        (is_use(own, "ramp") & is_use(other, "ramp") & (c(best) < LOW_CLASS), F.when(c(signal), F.lit(4)).when(c(edges_at_node) > 3, base + 2).otherwise(base)),
+        (is_use(own, "ramp") & ~is_use(other, "ramp") & ~own["internal"] & ~other["internal"], base + F.when(sharp, 3).when(slight, 1).otherwise(2)),
+        (is_use(own, "turn_channel"), F.when(sharp, base + 2).when(is_use(other, "ramp"), base + 1).when(slight, half).otherwise(less)),
+        (is_use(own, "parking_aisle") & is_use(other, "parking_aisle"), less),
+        (against, F.when(c(signal), base + 2).when(F.abs(low - other["road_class"]) > 1, base + 1).otherwise(base)),
+    ]
+    out = base
+    for when, then in reversed(rules):
+        out = F.when(when, then).otherwise(out)
+    channel = is_use(own, "turn_channel") & is_use(other, "turn_channel") & (c(best) < LOW_CLASS)
+    out = F.when(own["roundabout"] & other["roundabout"], 0).when(F.lit(False) if sharp_u_turn is None else c(sharp_u_turn), MOST_IMPACT).when(~c(further) & ~c(u_turn), 0).when(channel, MOST_IMPACT).otherwise(out)
+    return F.least(out, F.lit(MOST_IMPACT)).cast("int")

@@ -208,3 +208,14 @@ def multi_leg_costs(stops: DataFrame, edges: DataFrame) -> DataFrame:
 def recover(shortcuts: DataFrame) -> DataFrame:
     """(shortcut, seq, edge_id): the base edges of shortcuts (shortcut, base array<edge_id>)."""
     return shortcuts.select("shortcut", F.posexplode("base").alias("seq", "edge_id"))
+
+
+#: Fixed values, by level: transitions to a higher level, and the distance in metres from an end within which a level is searched whole.
+UP_TRANSITIONS, EXPAND_WITHIN, NO_LIMIT = (4_294_967_295, 400, 100), (4_294_967_295.0, 100_000.0, 5_000.0), 4_294_967_295
+
+
+def hierarchy_limits(level, relax: int = 1, expand: float = 1.0) -> tuple[Column, Column]:
+    """(transitions, metres) of a level 0, 1 or 2; a second pass relaxes both, but for those without a limit."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), c(level) + 1)
+    most, within = pick([x if x == NO_LIMIT else x * relax for x in UP_TRANSITIONS]), pick([x if x == NO_LIMIT else x * expand for x in EXPAND_WITHIN])
+    return most.cast("long"), within.cast("double")

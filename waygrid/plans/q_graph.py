@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
 from ..operators import etl, graph
-from .q_geo import ENDS, ends
+from .q_geo import ENDS, HEADING, ends
 from .registry import FEED, GRAPH, query
 
 
@@ -272,9 +272,10 @@ def etl07(spark, d):
     return etl.split_ways(o).groupBy("way_id", "edge").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"))
 
 
-@query("etl16_headings", f"""{ENDS}, l AS (SELECT *, row_number() OVER (PARTITION BY from_node ORDER BY edge_id)-1 AS local FROM e) SELECT from_node, CAST(local AS BIGINT) AS local, edge_id FROM l WHERE local < 8""")
+@query("etl16_headings", f"""{ENDS}, l AS (SELECT *, row_number() OVER (PARTITION BY from_node ORDER BY edge_id)-1 AS local, {HEADING} AS h FROM e) SELECT from_node, CAST(local AS BIGINT) AS local, edge_id, floor(h*1e3+0.5e0)/1e3 AS heading FROM l WHERE local < 8""")
 def etl16(spark, d):
-    return etl.local_index(graph.edges(spark, d)).where("local < 8").select("from_node", "local", "edge_id")
+    e = etl.local_index(ends(spark, d)).where("local < 8")
+    return e.select("from_node", "local", "edge_id", geo.milli(geo.heading("lat1", "lon1", "lat2", "lon2"), 1e3).alias("heading"))
 
 
 @query("etl17_opposing_index", f"""{GRAPH}, l AS (SELECT edge_id, row_number() OVER (PARTITION BY from_node ORDER BY edge_id)-1 AS local FROM g_edge) SELECT e.edge_id, CAST(l.local AS BIGINT) AS opp_index FROM g_edge e JOIN l ON l.edge_id=e.opp_edge_id""")

@@ -225,9 +225,14 @@ def scl23(spark, d):
     return graph.table(spark, d, "events").select("event_id", F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(86_400)).alias("second_of_day"))
 
 
-@query("cst21_hierarchy_limits", "SELECT * FROM (VALUES (0, 0, 4294967295, 4294967295.0::DOUBLE), (1, 1, 400, 100000.0), (2, 2, 100, 5000.0)) t(k, level, most, within) ")
+@query("cst21_hierarchy_limits", f"""{GRAPH}, h AS (SELECT edge_id, CASE WHEN road_class<=2 THEN 0 WHEN road_class<=4 THEN 1 ELSE 2 END AS level FROM g_edge),
+k AS (SELECT *, CASE level WHEN 0 THEN 4294967295 WHEN 1 THEN 400 ELSE 100 END AS most, CASE level WHEN 0 THEN 4294967295e0 WHEN 1 THEN 100000e0 ELSE 5000e0 END AS within FROM h)
+SELECT edge_id, CAST(level AS INT) AS level, CAST(CASE WHEN level=0 THEN most ELSE most*16 END AS BIGINT) AS most, CASE WHEN level=0 THEN within ELSE within*4e0 END AS within FROM k""")
 def cst21(spark, d):
-    return spark.createDataFrame([(0, 0, 4_294_967_295, 4_294_967_295.0), (1, 1, 400, 100_000.0), (2, 2, 100, 5_000.0)], "k int, level int, most long, within double")
+    """The limits of each edge's level, relaxed as for a second pass of a search from one side."""
+    e = graph.edges(spark, d).select("edge_id", keys.level_of_class("road_class").cast("int").alias("level"))
+    most, within = search.hierarchy_limits(F.col("level"), relax=16, expand=4.0)
+    return e.select("edge_id", "level", most.alias("most"), within.alias("within"))
 
 
 @query("pth17_algorithm_choice", f"{COSTED} SELECT query_id, CASE WHEN count(e.edge_id) > 0 THEN 'one way' ELSE 'both ways' END AS algorithm FROM q LEFT JOIN ce e ON e.from_node=q.origin AND e.to_node=q.destination GROUP BY 1")

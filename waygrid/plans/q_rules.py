@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
 from ..functions.geo import milli
-from ..operators import costing, filters, graph, search
+from ..operators import costing, etl, filters, graph, search
 from .q_route import PATHS, costed, queries
 from .registry import GRAPH, query
 
@@ -168,3 +168,35 @@ CODES = (("timeout", "transport"), ("401", "auth_error"), ("403", "auth_error"),
 def ops13(spark, d):
     cause = F.element_at(F.array(*[F.lit(a) for a, _ in CODES], F.lit("else")), (F.col("event_id") % 9).cast("int") + 1)
     return graph.table(spark, d, "events").select("event_id", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in CODES for x in p]), cause), F.lit("unknown")).alias("code"))
+
+
+USE = lambda e: f"CASE {e}%12 WHEN 0 THEN 'ramp' WHEN 1 THEN 'turn_channel' WHEN 2 THEN 'parking_aisle' ELSE 'road' END"
+
+
+@query("etl22_stop_impact", f"""{GRAPH}, n AS (SELECT from_node AS node, count(*) AS m, bool_and(edge_id%12=0) AS all_ramps FROM g_edge GROUP BY 1),
+l AS (SELECT edge_id, from_node, road_class, row_number() OVER (PARTITION BY from_node ORDER BY edge_id)-1 AS local, least(5, road_class + CASE WHEN edge_id%17=0 THEN 2 ELSE 0 END) AS rank FROM g_edge),
+r AS (SELECT *, row_number() OVER (PARTITION BY from_node ORDER BY rank, edge_id) AS p FROM l),
+x AS (SELECT i.from_node AS node, i.edge_id AS own, o.edge_id AS other, i.road_class AS ci, o.road_class AS co FROM l i JOIN l o ON o.from_node=i.from_node WHERE i.local < 8 AND o.local < 8),
+b AS (SELECT x.own, x.other, min(r.rank) AS best FROM x JOIN r ON r.from_node=x.node AND r.p<=3 AND r.edge_id<>x.own AND r.edge_id<>x.other GROUP BY 1,2),
+y AS (SELECT x.*, coalesce(b.best, 5) AS best, b.best IS NOT NULL AS further, least(ci, 5) AS low, (own+other)%360 AS g, {USE('own')} AS uo, {USE('other')} AS ut, x.node%4=0 AS signal, x.node%7<>0 AS on_right, m, all_ramps FROM x LEFT JOIN b USING (own, other) JOIN n ON n.node=x.node),
+z AS (SELECT *, greatest(0, low-best+3) AS base, (g BETWEEN 136 AND 224) AS sharp, (g<=44 OR g>=316) AS slight, (g BETWEEN 201 AND 315) AS lft, (g BETWEEN 45 AND 159) AS rgt FROM y)
+SELECT own, other, CAST(least(7, CASE WHEN own%17=0 AND other%17=0 THEN 0 WHEN NOT further AND own<>other THEN 0 WHEN uo='turn_channel' AND ut='turn_channel' AND best<5 THEN 7
+  WHEN all_ramps THEN CASE WHEN sharp THEN base+2 WHEN slight THEN base//2 ELSE greatest(0, base-1) END
+  WHEN uo='ramp' AND ut='ramp' AND best<5 THEN CASE WHEN signal THEN 4 WHEN m>3 THEN base+2 ELSE base END
+  WHEN uo='ramp' AND ut<>'ramp' AND own%5<>0 AND other%5<>0 THEN base + CASE WHEN sharp THEN 3 WHEN slight THEN 1 ELSE 2 END
+  WHEN uo='turn_channel' THEN CASE WHEN sharp THEN base+2 WHEN ut='ramp' THEN base+1 WHEN slight THEN base//2 ELSE greatest(0, base-1) END
+  WHEN uo='parking_aisle' AND ut='parking_aisle' THEN greatest(0, base-1)
+  WHEN (CASE WHEN on_right THEN lft ELSE rgt END) AND low<>co AND ut NOT IN ('ramp','turn_channel') THEN CASE WHEN signal THEN base+2 WHEN abs(low-co)>1 THEN base+1 ELSE base END
+  ELSE base END) AS INT) AS impact FROM z""")
+def etl22(spark, d):
+    e = graph.edges(spark, d).select("edge_id", "from_node", F.col("road_class").cast("int").alias("road_class"), (F.col("edge_id") % 17 == 0).alias("roundabout"))
+    l = etl.local_index(e).where("local < 8")  # noqa: E741
+    own = l.select(F.col("from_node").alias("node"), F.col("edge_id").alias("own"), F.col("road_class").alias("ci"))
+    pairs = own.join(l.select(F.col("from_node").alias("node"), F.col("edge_id").alias("other"), F.col("road_class").alias("co")), "node")
+    nodes = e.groupBy(F.col("from_node").alias("node")).agg(F.count(F.lit(1)).alias("m"), F.bool_and(F.col("edge_id") % 12 == 0).alias("all_ramps"))
+    x = etl.other_class(e, pairs).join(nodes, "node")
+    use = lambda k: F.when(F.col(k) % 12 == 0, "ramp").when(F.col(k) % 12 == 1, "turn_channel").when(F.col(k) % 12 == 2, "parking_aisle").otherwise("road")
+    edge = lambda k, kind: {"road_class": F.col(kind), "use": use(k), "roundabout": F.col(k) % 17 == 0, "internal": F.col(k) % 5 == 0}
+    turn = geo.turn_type((F.col("own") + F.col("other")) % 360)
+    impact = etl.stop_impact(turn, edge("own", "ci"), edge("other", "co"), "best", "further", "all_ramps", F.col("node") % 4 == 0, "m", F.col("node") % 7 != 0, F.col("own") == F.col("other"))
+    return x.select("own", "other", impact.alias("impact"))
