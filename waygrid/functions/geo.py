@@ -227,3 +227,88 @@ def vector(ax, ay, bx, by) -> dict[str, Column]:
 
 
 PI = math.pi
+
+
+def segments(line: Column) -> Column:
+    """The segments (i, lat1, lon1, lat2, lon2) of an array of points (lat, lon), i from 0; none of fewer than two points."""
+    n = F.size(line)
+    one = lambda i: F.struct(i.alias("i"), line[i]["lat"].alias("lat1"), line[i]["lon"].alias("lon1"), line[i + 1]["lat"].alias("lat2"), line[i + 1]["lon"].alias("lon2"))
+    return F.when(n < 2, F.slice(F.transform(F.sequence(F.lit(0), F.lit(0)), one), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), one))
+
+
+def closest_on_line(lat, lon, line: Column) -> Column:
+    """(d2, i, t, lat, lon): the point of a line nearest to (lat, lon) on the plane that touches there, its squared metres, segment and share."""
+    k = F.cos(F.radians(c(lat)))
+
+    def at(s):
+        t = project_share(lon, lat, s["lon1"], s["lat1"], s["lon2"], s["lat2"], k)
+        y, x = s["lat1"] + (s["lat2"] - s["lat1"]) * t, s["lon1"] + (s["lon2"] - s["lon1"]) * t
+        d2 = _square((y - c(lat)) * METERS_PER_DEGREE_LAT) + _square((x - c(lon)) * k * METERS_PER_DEGREE_LAT)
+        return F.struct(d2.alias("d2"), s["i"].alias("i"), t.alias("t"), y.alias("lat"), x.alias("lon"))
+
+    return F.array_min(F.transform(segments(line), at))
+
+
+def heading_along(line: Column, meters) -> Column:
+    """Bearing from a line's first point to the one so many metres along it, or to its last if it is shorter."""
+    start = F.struct(F.lit(0.0).alias("gone"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+
+    def step(a, s):
+        size = haversine(s["lat1"], s["lon1"], s["lat2"], s["lon2"])
+        t = F.when(size == 0, F.lit(0.0)).otherwise((c(meters) - a["gone"]) / size)
+        here = (t <= 1.0) & a["lat"].isNull()
+        y, x = s["lat1"] + (s["lat2"] - s["lat1"]) * t, s["lon1"] + (s["lon2"] - s["lon1"]) * t
+        return F.struct((a["gone"] + size).alias("gone"), F.when(here, y).otherwise(a["lat"]).alias("lat"), F.when(here, x).otherwise(a["lon"]).alias("lon"))
+
+    end = F.aggregate(segments(line), start, step)
+    last = F.element_at(line, -1)
+    return heading(line[0]["lat"], line[0]["lon"], F.coalesce(end["lat"], last["lat"]), F.coalesce(end["lon"], last["lon"]))
+
+
+def crossings(line: Column) -> Column:
+    """(i, j) of the segments of a line that properly cross each other, i before j; neighbours do not count."""
+    all_segments = segments(line)
+
+    def cross(a, b):
+        s = lambda p, q: side(p[0], p[1], q["lon1"], q["lat1"], q["lon2"], q["lat2"])
+        ends = lambda x: ((x["lon1"], x["lat1"]), (x["lon2"], x["lat2"]))
+        (a1, a2), (b1, b2) = ends(a), ends(b)
+        return (s(a1, b) * s(a2, b) < 0) & (s(b1, a) * s(b2, a) < 0)
+
+    return F.flatten(F.transform(all_segments, lambda a: F.transform(F.filter(all_segments, lambda b: (b["i"] > a["i"] + 1) & cross(a, b)), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j")))))
+
+
+def circle_ring(lat, lon, meters, corners: int = 8) -> Column:
+    """A closed ring of corners on a circle of so many metres, clockwise from north, on the plane that touches at its centre."""
+    dy = c(meters) / METERS_PER_DEGREE_LAT
+    at = lambda k: F.struct((c(lat) + dy * F.cos(k * (2 * math.pi / corners))).alias("lat"), (c(lon) + dy / F.cos(F.radians(c(lat))) * F.sin(k * (2 * math.pi / corners))).alias("lon"))
+    return F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda k: at(k % corners))
+
+
+def bounding_circle(line: Column) -> Column:
+    """(lat, lon, meters): the middle of a line's box and the largest distance of its points from there, which no point is beyond."""
+    low, high = (lambda f: F.array_min(F.transform(line, lambda p: p[f]))), (lambda f: F.array_max(F.transform(line, lambda p: p[f])))
+    y, x = (low("lat") + high("lat")) / 2.0, (low("lon") + high("lon")) / 2.0
+    return F.struct(y.alias("lat"), x.alias("lon"), F.array_max(F.transform(line, lambda p: haversine(y, x, p["lat"], p["lon"]))).alias("meters"))
+
+
+def cells_on_segment(lat1, lon1, lat2, lon2, size: float) -> Column:
+    """The cells (row, col) of a grid of so many degrees that a segment runs through, column by column."""
+    y1, x1, y2, x2 = c(lat1), c(lon1), c(lat2), c(lon2)
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    at = lambda x: y1 + (y2 - y1) * ((x - x1) / (x2 - x1))
+
+    def column(k):
+        a, b = F.greatest(low, k * size), F.least(high, (k + 1) * size)
+        first, last = F.when(x1 == x2, y1).otherwise(at(a)), F.when(x1 == x2, y2).otherwise(at(b))
+        rows = F.sequence(F.floor(F.least(first, last) / size), F.floor(F.greatest(first, last) / size))
+        return F.transform(rows, lambda r: F.struct(r.alias("row"), k.alias("col")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low / size), F.floor(high / size)), column))
+
+
+def box_distance(lat, lon, south, west, size: float) -> Column:
+    """Metres from a point to the nearest place of a square of so many degrees; 0 inside."""
+    dy = F.greatest(F.lit(0.0), c(south) - c(lat), c(lat) - (c(south) + size)) * METERS_PER_DEGREE_LAT
+    dx = F.greatest(F.lit(0.0), c(west) - c(lon), c(lon) - (c(west) + size)) * meters_per_degree_lon(lat)
+    return F.sqrt(_square(dy) + _square(dx))
