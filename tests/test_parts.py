@@ -114,7 +114,16 @@ def test_osm_pbf(spark, tmp_path):
     assert math.isclose(rows["node", 11].lat, 36.0000005) and math.isclose(rows["node", 16].lon, -87.0) and rows["node", 11].tags == {"amenity": "bicycle_rental"} and rows["node", 10].tags == {}
     assert rows["way", 77].refs == [10, 11, 16] and rows["way", 77].tags == {"highway": "primary"}
     assert [tuple(m) for m in rows["relation", 5].members] == [("node", 11, "via")]
-    h = osm_pbf.header(spark, str(tmp_path)).first()
+    assert {r.kind for r in osm_pbf.read(spark, str(tmp_path), kinds=("way", "relation")).collect()} == {"way", "relation"}
+    assert [(r.kind, r.offset + r.size) for r in osm_pbf.index(spark, str(tmp_path)).orderBy("offset").collect()][-1] == ("OSMData", len(raw))
+    (tmp_path / "b.osm.pbf").write_bytes(raw + blob("OSMData", table + data(2, way)) * 5)
+    assert sorted(r.kind for r in osm_pbf.read(spark, str(tmp_path), tasks=3).collect()) == ["node"] * 6 + ["relation"] * 2 + ["way"] * 7
+    (tmp_path / "b.osm.pbf").unlink()
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.osm.pbf").write_bytes(raw[:-3])
+    with pytest.raises(Exception, match="ends early"):
+        osm_pbf.read(spark, str(tmp_path / "c")).collect()
+    h = osm_pbf.header(spark, f"{tmp_path}/a.osm.pbf").first()
     assert math.isclose(h.left, -0.87) and math.isclose(h.top, 0.36) and h.right is None
     with pytest.raises(ValueError):
         list(osm_pbf.blobs(raw[:-3]))

@@ -6,10 +6,13 @@ of dense nodes (deltas), plain nodes, ways and relations.
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
 import zlib
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +83,8 @@ def blobs(raw: bytes):
         yield head[1].decode(), zlib.decompress(b[3]) if 3 in b else b[1]
 
 
-def entities(block: bytes):
-    """Rows of one primitive block, in file order."""
+def entities(block: bytes, kinds: frozenset[str] = frozenset(_MEMBER)):
+    """Rows of one primitive block, in file order, of the kinds asked for."""
     table, groups, granularity, lat0, lon0 = [], [], 100, 0, 0
     for k, v in fields(block):
         if k == 1:
@@ -97,6 +100,8 @@ def entities(block: bytes):
     signed = lambda v: (v >> 1) ^ -(v & 1)
     for g in groups:
         for k, v in fields(g):
+            if k > 4 or _MEMBER[max(k - 2, 0)] not in kinds:
+                continue
             f = dict(fields(v))
             if k == 1:
                 yield "node", signed(f[1]), place(signed(f[8]), lat0), place(signed(f[9]), lon0), tags_of(f), None, None
@@ -116,29 +121,76 @@ def entities(block: bytes):
                 yield "relation", f[1], None, None, tags_of(f), None, [{"type": _MEMBER[t], "ref": r, "role": table[s]} for t, s, r in parts]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Entities of all files of a path, as ENTITY; filter on kind for one of them. A task takes a file, which it never holds decoded as a whole."""
-    import sys
+def _open(uri: str):
+    """A file of any file system, read by places."""
+    local = re.match(r"file:/+(.*)", uri)
+    system, at = fs.FileSystem.from_uri(f"/{local[1]}" if local else uri)
+    return system.open_input_file(at)
 
+
+def _by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, size, kind) of the blobs of all files of a path: only lengths and blob headers are read, whatever the files' size.
+
+    A file that breaks off is an error.
+    """
+    _by_value()
+
     def run(batches):
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                for kind, block in blobs(raw):
-                    if kind == "OSMData":
-                        rows = list(entities(block))
-                        if rows:
-                            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_ARROW)], schema=_ARROW)
+            for uri, length in zip(*(c.to_pylist() for c in b.columns[:2]), strict=True):
+                out, at = [], 0
+                with _open(uri) as f:
+                    while at < length:
+                        size = struct.unpack(">I", f.read_at(4, at))[0]
+                        head = dict(fields(f.read_at(size, at + 4)))
+                        at += 4 + size
+                        if at + head[3] > length:
+                            raise ValueError("a blob ends early")
+                        out.append((uri, at, head[3], head[1].decode()))
+                        at += head[3]
+                        if len(out) == 4096:
+                            yield batch(out)
+                            out = []
+                yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file", "offset", "size", "kind"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # no contents
+    return files.repartition("path").mapInArrow(run, "file string, offset long, size long, kind string")
+
+
+def read(spark: SparkSession, path: str, kinds: tuple[str, ...] = _MEMBER, tasks: int | None = None) -> DataFrame:
+    """Entities of all files of a path, as ENTITY; groups of kinds that are not asked for are not decoded.
+
+    The blobs of one file are dealt to many tasks, each of which holds one decoded blob at a time.
+    """
+    _by_value()
+    wanted = frozenset(kinds)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ENTITY)
+    def run(batches):
+        for b in batches:
+            opened, f = None, None
+            for uri, offset, size in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
+                if uri != opened:
+                    f, opened = _open(uri), uri
+                body = dict(fields(f.read_at(size, offset)))
+                rows = list(entities(zlib.decompress(body[3]) if 3 in body else body[1], wanted))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_ARROW)], schema=_ARROW)
+
+    blocks = index(spark, path).where("kind = 'OSMData'").select("file", "offset", "size")
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartitionByRange(n, "file", "offset").mapInArrow(run, ENTITY)
 
 
 def header(spark: SparkSession, path: str) -> DataFrame:
     """(file, left, right, top, bottom) in degrees, null where the header has no box."""
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    _by_value()
 
     def run(batches):
         for b in batches:

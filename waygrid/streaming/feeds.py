@@ -101,16 +101,20 @@ def unique_events(spark: SparkSession, folder: str) -> DataFrame:
     return _collected(fresh(read_events(spark, folder)), "append")
 
 
-def windows(spark: SparkSession, folder: str, size: str = "1 hour") -> DataFrame:
-    """Events and their value by kind and tumbling window; complete, as the feed ends."""
+def windows(spark: SparkSession, folder: str, size: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Events by kind and tumbling window. A batch writes the windows that it changed; of each the last state counts.
+
+    The stream keeps windows within the delay only, and a batch that runs again writes the same.
+    """
     at = new_path(spark, "windows")
-    by = read_events(spark, folder).withWatermark("at", "1 day").groupBy(F.window("at", size), "event_type").agg(F.count(F.lit(1)).alias("events"))
+    by = read_events(spark, folder).withWatermark("at", delay).groupBy(F.window("at", size), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
     def batch(df: DataFrame, number: int) -> None:
-        publish(df, at, number + 1)
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/delta/{number}")
 
-    by.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return current(spark, at)
+    by.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    deltas = spark.read.schema(T.StructType([*by.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{at}/delta/*")
+    return deltas.groupBy("window", "event_type").agg(F.max_by("events", "batch").alias("events"))
 
 
 def unexpired(updates: DataFrame, now) -> DataFrame:
