@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
 from ..functions.geo import milli
-from ..operators import costing, etl, filters, graph, search
+from ..operators import costing, etl, filters, graph, search, tags
 from .q_route import PATHS, costed, queries
 from .registry import GRAPH, query
 
@@ -200,3 +200,30 @@ def etl22(spark, d):
     turn = geo.turn_type((F.col("own") + F.col("other")) % 360)
     impact = etl.stop_impact(turn, edge("own", "ci"), edge("other", "co"), "best", "further", "all_ramps", F.col("node") % 4 == 0, "m", F.col("node") % 7 != 0, F.col("own") == F.col("other"))
     return x.select("own", "other", impact.alias("impact"))
+
+
+@query("scl02_node_access", f"""{GRAPH}, t AS (SELECT node_id, list_extract([NULL,'yes','private','no','psv','emergency'], CAST(node_id%6 AS INT)+1) AS access, list_extract([NULL,'gate','bollard','wall','sump_buster','lift_gate','block'], CAST(node_id%7 AS INT)+1) AS barrier,
+  list_extract([NULL,'yes','no','destination;no'], CAST(node_id//2%4 AS INT)+1) AS motor, list_extract([NULL,'yes','no'], CAST(node_id//3%3 AS INT)+1) AS foot, node_id%5=0 AS crossing, list_extract([NULL,'no','yes'], CAST(node_id//5%3 AS INT)+1) AS bike FROM g_node),
+o AS (SELECT *, CASE WHEN motor IN ('yes','destination;no') THEN 1 WHEN motor='no' THEN 0 END AS car, access IN ('no','psv','emergency') IS TRUE AS shut, access IS NOT NULL AS said FROM t),
+s AS (SELECT *, CASE WHEN barrier IN ('bollard','block') AND NOT said THEN 'post' WHEN barrier='sump_buster' THEN 'sump' WHEN barrier='wall' THEN 'wall' WHEN crossing AND barrier IS NULL AND NOT shut THEN 'open' WHEN shut THEN 'shut' WHEN crossing AND barrier IS NULL THEN 'open' ELSE 'plain' END AS state FROM o)
+SELECT node_id, CAST(coalesce(car, CASE WHEN state IN ('open','plain') THEN 1 ELSE 0 END)
+  | coalesce(CASE foot WHEN 'yes' THEN 2 WHEN 'no' THEN 0 END, CASE WHEN state IN ('wall','shut') THEN 0 ELSE 2 END)
+  | CASE WHEN bike='yes' OR (bike='no' AND crossing) THEN 4 WHEN bike='no' THEN 0 WHEN state IN ('wall','shut') THEN 0 ELSE 4 END
+  | CASE WHEN car=1 THEN 8 WHEN car=0 THEN 0 WHEN state IN ('open','plain','sump') THEN 8 ELSE 0 END
+  | CASE WHEN access='emergency' THEN 16 WHEN state IN ('open','plain','sump') THEN 16 ELSE 0 END
+  | CASE WHEN access='psv' THEN 32 WHEN car=1 THEN 32 WHEN car=0 THEN 0 WHEN state IN ('open','plain') THEN 32 ELSE 0 END
+  | CASE WHEN access='psv' THEN 64 WHEN car=1 THEN 64 WHEN car=0 THEN 0 WHEN state IN ('open','plain','sump') THEN 64 ELSE 0 END
+  | CASE WHEN car=1 THEN 128 WHEN car=0 THEN 0 WHEN state IN ('open','plain') THEN 128 ELSE 0 END
+  | CASE WHEN foot='yes' THEN 256 WHEN state IN ('wall','shut') THEN 0 ELSE 256 END
+  | CASE WHEN car=0 THEN 0 WHEN state IN ('open','plain','sump') THEN 512 ELSE 0 END
+  | CASE WHEN car=0 THEN 0 WHEN state IN ('open','plain','sump') THEN 1024 ELSE 0 END AS INT) AS access FROM s""")
+def scl02(spark, d):
+    n = F.col("node_id")
+    one = lambda i, *v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), i.cast("int") + 1)
+    pairs = {
+        "access": one(n % 6, None, "yes", "private", "no", "psv", "emergency"), "barrier": one(n % 7, None, "gate", "bollard", "wall", "sump_buster", "lift_gate", "block"),
+        "motor_vehicle": one(F.floor(n / 2) % 4, None, "yes", "no", "destination;no"), "foot": one(F.floor(n / 3) % 3, None, "yes", "no"),
+        "highway": F.when(n % 5 == 0, "crossing"), "bicycle": one(F.floor(n / 5) % 3, None, "no", "yes"),
+    }
+    made = F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return graph.nodes(spark, d).select("node_id", made.alias("tags")).select("node_id", tags.node_access(F.col("tags")).alias("access"))
