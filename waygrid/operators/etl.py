@@ -138,3 +138,22 @@ def stop_impact(turn, own: dict, other: dict, best, further, all_ramps, signal,
     channel = is_use(own, "turn_channel") & is_use(other, "turn_channel") & (c(best) < LOW_CLASS)
     out = F.when(own["roundabout"] & other["roundabout"], 0).when(F.lit(False) if sharp_u_turn is None else c(sharp_u_turn), MOST_IMPACT).when(~c(further) & ~c(u_turn), 0).when(channel, MOST_IMPACT).otherwise(out)
     return F.least(out, F.lit(MOST_IMPACT)).cast("int")
+
+
+def restriction_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(restriction, from_edge, via, to_edge) of restrictions over one node. members: (restriction, role, ref): from and to are ways, via a node.
+
+    The from way's edge that ends at the node, and the to way's edge that begins there; a restriction that lacks a member, or whose ways
+    do not meet at its node, has no row.
+    """
+    role = lambda name: F.max(F.when(F.col("role") == name, F.col("ref"))).alias(f"{name}_ref")
+    r = members.groupBy("restriction").agg(role("from"), role("via"), role("to"))
+    ends = edges.select(F.col("way_id").alias("from_ref"), F.col("to_node").alias("via_ref"), F.col("edge_id").alias("from_edge"))
+    starts = edges.select(F.col("way_id").alias("to_ref"), F.col("from_node").alias("via_ref"), F.col("edge_id").alias("to_edge"))
+    return r.join(ends, ["from_ref", "via_ref"]).join(starts, ["to_ref", "via_ref"]).select("restriction", "from_edge", F.col("via_ref").alias("via"), "to_edge")
+
+
+def stamps(rows: DataFrame) -> DataFrame:
+    """(tile, stamp): the sum, in 48 bits, of the first 48 bits of each row's MD5. rows: (tile, row string), in any order."""
+    total = F.sum(keys.hash48(F.md5(F.col("row").cast("binary"))).cast("decimal(38,0)"))
+    return rows.groupBy("tile").agg((total % F.lit(1 << 48).cast("decimal(38,0)")).cast("long").alias("stamp"))

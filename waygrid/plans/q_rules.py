@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
 from ..functions.geo import milli
-from ..operators import costing, etl, filters, graph, search, tags
+from ..operators import costing, etl, filters, graph, search, sorting, tags
 from .q_route import PATHS, costed, queries
 from .registry import GRAPH, query
 
@@ -227,3 +227,40 @@ def scl02(spark, d):
     }
     made = F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     return graph.nodes(spark, d).select("node_id", made.alias("tags")).select("node_id", tags.node_access(F.col("tags")).alias("access"))
+
+
+@query("jon17_restriction_members", f"""{GRAPH}, r AS (SELECT way_id, b, lead(way_id) OVER (PARTITION BY b ORDER BY way_id) AS into_way FROM g_base)
+SELECT r.way_id AS restriction, f.edge_id AS from_edge, r.b AS via, t.edge_id AS to_edge FROM r JOIN g_edge f ON f.way_id=r.way_id AND f.to_node=r.b JOIN g_edge t ON t.way_id=r.into_way AND t.from_node=r.b""")
+def jon17(spark, d):
+    """Restrictions from each way over its end node into the next way there: members by role become the edges that are driven."""
+    w = graph.ways(spark, d).select("way_id", "b", F.lead("way_id").over(Window.partitionBy("b").orderBy("way_id")).alias("into")).where("into is not null")
+    member = lambda role, ref: F.struct(F.lit(role).alias("role"), F.col(ref).alias("ref"))
+    members = w.select(F.col("way_id").alias("restriction"), F.explode(F.array(member("from", "way_id"), member("via", "b"), member("to", "into"))).alias("m")).select("restriction", "m.role", "m.ref")
+    return etl.restriction_edges(members, graph.edges(spark, d))
+
+
+@query("srt02_stable_sort", "SELECT event_id, CAST(row_number() OVER (ORDER BY user_id, event_id) AS BIGINT) AS place FROM events")
+def srt02(spark, d):
+    """By user, events of one user in the order in which they came."""
+    return sorting.places(graph.table(spark, d, "events").select("event_id", "user_id"), [F.col("user_id"), F.col("event_id")]).select("event_id", "place")
+
+
+_ROW48 = "('0x'||substr(md5(CAST(o_orderkey AS VARCHAR)||'|'||{status}),1,12))::BIGINT"
+
+
+@query("snk05_restamp", f"""WITH t AS (SELECT o_custkey % 40 AS tile, CAST(sum({_ROW48.format(status='o_orderstatus')}::HUGEINT) % 281474976710656 AS BIGINT) AS before,
+  CAST(sum({_ROW48.format(status="CASE WHEN o_custkey%80=3 THEN 'X' ELSE o_orderstatus END")}::HUGEINT) % 281474976710656 AS BIGINT) AS after FROM orders GROUP BY 1) SELECT tile, after AS stamp FROM t WHERE before<>after""")
+def snk05(spark, d):
+    """New stamps of the tiles whose rows have changed; a stamp is a sum over rows, so no task needs a whole tile."""
+    o = graph.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 40).alias("tile"), (F.col("o_custkey") % 80 == 3).alias("changed"))
+    old = etl.stamps(o.select("tile", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("row")))
+    new = etl.stamps(o.select("tile", F.concat_ws("|", F.col("o_orderkey").cast("string"), F.when(F.col("changed"), "X").otherwise(F.col("o_orderstatus"))).alias("row")))
+    return new.join(old.withColumnRenamed("stamp", "before"), "tile").where("stamp <> before").select("tile", "stamp")
+
+
+@query("ops09_qualification", "SELECT event_type, floor(quantile_cont(value, 0.5)*1e3+0.5e0)/1e3 AS median, floor(quantile_cont(value, 0.95)*1e3+0.5e0)/1e3 AS p95, count(*) AS runs, quantile_cont(value, 0.95) <= 1.5e0*quantile_cont(value, 0.5) AND count(*) >= 5 AS passed FROM events GROUP BY 1")
+def ops09(spark, d):
+    """A gate for each kind of run: five runs at least, and a 95th percentile of at most one and a half medians."""
+    e = graph.table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("p"), F.count(F.lit(1)).alias("runs"))
+    median, high = F.col("p")[0], F.col("p")[1]
+    return e.select("event_type", milli(median).alias("median"), milli(high).alias("p95"), "runs", ((high <= median * 1.5) & (F.col("runs") >= 5)).alias("passed"))
