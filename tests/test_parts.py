@@ -170,6 +170,10 @@ def test_snap_finds_far_nodes_and_respects_the_cutoff(spark):
     assert got == {1: 1, 2: 2, 4: 2}
     segments = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.1), (2, 0.02, 0.0, 0.02, 0.1)], "edge_id long, lat1 double, lon1 double, lat2 double, lon2 double")
     e = snap.nearest_edges(points.where("point_id = 1"), segments).first()
+    far = snap.nearest_edges(spark.createDataFrame([(9, 0.0, 0.3), (10, 30.0, 0.3)], "point_id long, lat double, lon double"), segments).collect()
+    assert [(r.point_id, r.edge_id, r.share) for r in far] == [(9, 1, 1.0)]
+    over = snap.nearest_nodes(spark.createDataFrame([(1, 10.0, 179.99)], "point_id long, lat double, lon double"), spark.createDataFrame([(7, 10.0, -179.99)], "node_id long, lat double, lon double")).first()
+    assert over.node_id == 7 and over.meters < 2300
     assert e.edge_id in (1, 2) and math.isclose(e.share, 0.1, abs_tol=1e-9) and math.isclose(e.meters, 1105.67, rel_tol=1e-6)
 
 

@@ -20,7 +20,7 @@ def allowed(edge: dict, mode: int, u_turn=None, avoided=None, allow_destination_
 
     edge: access, surface, dest, closed, unpaved, forbidden (bit mask over local numbers of the next edge) and local.
     """
-    ok = has_access(edge["access"], mode) & (F.expr(f"shiftright({_sql(edge['forbidden'])}, {_sql(edge['local'])})").bitwiseAND(1) == 0) & (edge["surface"] != IMPASSABLE)
+    ok = has_access(edge["access"], mode) & (F.call_function("shiftright", c(edge["forbidden"]), c(edge["local"])).bitwiseAND(1) == 0) & (edge["surface"] != IMPASSABLE)
     if u_turn is not None:
         ok = ok & ~c(u_turn)
     if avoided is not None:
@@ -32,11 +32,6 @@ def allowed(edge: dict, mode: int, u_turn=None, avoided=None, allow_destination_
     return ok & ~edge["unpaved"] if exclude_unpaved else ok
 
 
-def _sql(column: Column) -> str:
-    """The name of a plain column."""
-    return str(column).removeprefix("Column<'").removesuffix("'>")
-
-
 def hov_allowed(kind, tolled, hov2: bool, hov3: bool, hot: bool) -> Column:
     """Three aboard may use all, two the lanes for two, others tolled lanes if they pay."""
     if hov3:

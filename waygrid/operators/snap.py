@@ -12,43 +12,52 @@ CELL = 0.05
 
 
 def _cell(df: DataFrame, size: float) -> DataFrame:
-    return df.withColumn("r", F.floor(F.col("lat") / size)).withColumn("k", F.floor(F.col("lon") / size))
+    """With the row and column of the cell; columns go round the globe."""
+    return df.withColumn("r", F.floor(F.col("lat") / size)).withColumn("k", F.pmod(F.floor(F.col("lon") / size), F.lit(round(360 / size))))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = CELL, cutoff_m: float = 35_000.0, max_rings: int = 32) -> DataFrame:
-    """(point_id, node_id, meters): the nearest node of each point, the smallest id of equals; points with none within cutoff_m have no row.
+def _by_rings(points: DataFrame, cells: DataFrame, distance, id_col: str, extra: list[str], cell: float, cutoff_m: float) -> DataFrame:
+    """(point_id, id_col, extra, meters) of the nearest row of cells (r, k, id_col, ...) for each point; distance: the join -> with meters.
 
-    points: point_id, lat, lon; nodes: node_id, lat, lon. A ring of cells is only searched for points whose best distance so far
-    is more than what the rings before it are sure to cover, so each point meets the nodes near it, never all of them.
+    A ring of cells is only searched for points whose best distance so far is more than what the rings before it are sure to cover, so
+    each point meets what is near it, never all. Rings end at the cutoff, which takes more of them where meridians are close.
     """
-    n = _cell(nodes, cell).select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), "r", "k")
-    open_points, best = stage(_cell(points, cell), "snap"), None
-    for ring in range(max_rings):
+    open_points, best, ring = stage(_cell(points, cell), "snap"), None, 0
+    columns = F.greatest(geo.meters_per_degree_lon("lat"), F.lit(geo.METERS_PER_DEGREE_LAT * 0.01))
+    while True:
         around = [(i, j) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1) if max(abs(i), abs(j)) == ring]
-        cells = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("k") + j).alias("k")) for i, j in around]))
-        near = open_points.select("point_id", "lat", "lon", cells.alias("c")).select("point_id", "lat", "lon", "c.r", "c.k").join(n, ["r", "k"])
-        near = near.select("point_id", "node_id", geo.haversine("lat", "lon", "nlat", "nlon").alias("meters"))
+        steps = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), F.pmod(F.col("k") + j, F.lit(round(360 / cell))).alias("k")) for i, j in around]))
+        near = open_points.select("point_id", "lat", "lon", steps.alias("c")).select("point_id", "lat", "lon", "c.r", "c.k").join(cells, ["r", "k"])
+        near = distance(near).select("point_id", id_col, *extra, "meters")
         best = near if best is None else best.unionByName(near)
-        best = stage(best.groupBy("point_id").agg(F.min(F.struct("meters", "node_id")).alias("b")).select("point_id", "b.node_id", "b.meters"), "snap")
-        sure = F.least(geo.meters_per_degree_lon("lat"), F.lit(geo.METERS_PER_DEGREE_LAT)) * (ring * cell)
+        best = stage(best.groupBy("point_id").agg(F.min(F.struct("meters", id_col, *extra)).alias("b")).select("point_id", *[F.col(f"b.{x}").alias(x) for x in (id_col, *extra, "meters")]), "snap")
+        sure = F.least(columns, F.lit(geo.METERS_PER_DEGREE_LAT)) * (ring * cell)
         rest = open_points.join(best.select("point_id", "meters"), "point_id", "left").where((F.col("meters").isNull() | (F.col("meters") > sure * 0.99)) & (sure < cutoff_m)).drop("meters")
-        open_points = stage(rest, "snap")
+        open_points, ring = stage(rest, "snap"), ring + 1
         if open_points.isEmpty():
-            break
-    return best.where(F.col("meters") <= cutoff_m)
+            return best.where(F.col("meters") <= cutoff_m)
+
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = CELL, cutoff_m: float = 35_000.0) -> DataFrame:
+    """(point_id, node_id, meters): the nearest node of each point, the smallest id of equals; points with none within cutoff_m have no row.
+
+    points: point_id, lat, lon; nodes: node_id, lat, lon.
+    """
+    n = _cell(nodes, cell).select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), "r", "k")
+    return _by_rings(points, n, lambda x: x.withColumn("meters", geo.haversine("lat", "lon", "nlat", "nlon")), "node_id", [], cell, cutoff_m)
 
 
-def nearest_edges(points: DataFrame, segments: DataFrame, cell: float = CELL, within: int = 1) -> DataFrame:
-    """(point_id, edge_id, share, meters): the nearest straight edge among those that cross the cells around a point.
+def nearest_edges(points: DataFrame, segments: DataFrame, cell: float = CELL, cutoff_m: float = 35_000.0) -> DataFrame:
+    """(point_id, edge_id, share, meters): the nearest straight edge of each point; points with none within cutoff_m have no row.
 
-    segments: edge_id, lat1, lon1, lat2, lon2. Edges are in every cell of their box; what is further than `within` cells is not seen.
+    segments: edge_id, lat1, lon1, lat2, lon2. An edge is in the cells that it runs through.
     """
-    low, high = (lambda a, b: F.floor(F.least(a, b) / cell)), (lambda a, b: F.floor(F.greatest(a, b) / cell))
-    e = segments.withColumn("r", F.explode(F.sequence(low("lat1", "lat2"), high("lat1", "lat2")))).withColumn("k", F.explode(F.sequence(low("lon1", "lon2"), high("lon1", "lon2"))))
-    around = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("k") + j).alias("k")) for i in range(-within, within + 1) for j in range(-within, within + 1)]))
-    p = _cell(points, cell).select("point_id", "lat", "lon", around.alias("c")).select("point_id", "lat", "lon", "c.r", "c.k")
-    scale = F.cos(F.radians("lat"))
-    hit = p.join(e, ["r", "k"]).withColumn("share", geo.project_share("lon", "lat", "lon1", "lat1", "lon2", "lat2", scale))
-    at = lambda x: F.col(f"{x}1") + (F.col(f"{x}2") - F.col(f"{x}1")) * F.col("share")
-    hit = hit.withColumn("meters", F.sqrt(geo.approx_squared("lat", "lon", at("lat"), at("lon"))))
-    return hit.groupBy("point_id").agg(F.min(F.struct("meters", "edge_id", "share")).alias("b")).select("point_id", "b.edge_id", "b.share", "b.meters")
+    at = F.explode(geo.cells_on_segment("lat1", "lon1", "lat2", "lon2", cell))
+    e = segments.withColumn("c", at).withColumn("r", F.col("c.row")).withColumn("k", F.pmod(F.col("c.col"), F.lit(round(360 / cell)))).drop("c")
+
+    def distance(x: DataFrame) -> DataFrame:
+        x = x.withColumn("share", geo.project_share("lon", "lat", "lon1", "lat1", "lon2", "lat2", F.cos(F.radians("lat"))))
+        place = lambda v: F.col(f"{v}1") + (F.col(f"{v}2") - F.col(f"{v}1")) * F.col("share")
+        return x.withColumn("meters", F.sqrt(geo.approx_squared("lat", "lon", place("lat"), place("lon"))))
+
+    return _by_rings(points, e, distance, "edge_id", ["share"], cell, cutoff_m)

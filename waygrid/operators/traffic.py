@@ -96,9 +96,9 @@ def impact(kind, closed, direction_resolved, keep_closures: bool = True) -> tupl
 def evaluate(routes: DataFrame, updates: DataFrame) -> DataFrame:
     """For each route (route_id, edge_id): delay_s (the most of each source, summed), incidents, hard_deny. Routes without traffic have 0.
 
-    The best update of each edge, provider and event counts, direction-resolved ones first.
+    The best update of each edge, provider and event counts: direction-resolved, then of more confidence, closed, of more delay.
     """
-    w = Window.partitionBy("edge_id", "provider_id", "event_id").orderBy(F.col("direction_resolved").desc(), F.col("confidence_pct").desc())
+    w = Window.partitionBy("edge_id", "provider_id", "event_id").orderBy(F.col("direction_resolved").desc(), F.col("confidence_pct").desc(), F.col("closed").desc(), F.col("delay_s").desc_nulls_last(), "kind")
     own = updates.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     hit = routes.select("route_id", "edge_id").distinct().join(own, "edge_id")
     source = hit.groupBy("route_id", "provider_id", "event_id").agg(F.max("delay_s").alias("delay"), F.bool_or(F.col("kind") == "incident").alias("incident"), F.bool_or(F.col("closed") & F.col("direction_resolved")).alias("deny"))
