@@ -384,6 +384,8 @@ def link(members: DataFrame, texts: DataFrame, features, similarity, threshold:
     known = classes(done)
     if n:
         members = s(_elected(members.join(small(large, n), "key", "left_semi"), known), "link-members")
+        nodes = s(members.select("nid").union(members.select("rep")).distinct(), "link-nodes")
+        texts = s(texts.join(small(nodes, nodes.count()), "nid", "left_semi"), "link-texts")  # the others are not moved again
         for last in (False, True):
             tested = s(similarities(members.where("nid != rep").select(F.col("nid").alias("x"), F.col("rep").alias("y")), texts, features, similarity), "link-tested")
             done = done.union(tested)

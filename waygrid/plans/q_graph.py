@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
-from ..operators import etl, graph
+from ..operators import etl, graph, sorting
 from .q_geo import ENDS, HEADING, ends
 from .registry import FEED, GRAPH, query
 
@@ -204,10 +204,9 @@ def srt04(spark, d):
     return n.select("node_id", "tile", (F.row_number().over(Window.partitionBy("tile").orderBy("node_id")) - 1).cast("long").alias("idx"))
 
 
-@query("srt07_bin_sort", f"{GRAPH} SELECT density, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS edges FROM g_edge WHERE road_class=1 GROUP BY 1")
+@query("srt07_bin_sort", f"{GRAPH} SELECT density AS bin, edge_id, CAST(row_number() OVER (PARTITION BY density ORDER BY edge_id) AS BIGINT) AS place FROM g_edge")
 def srt07(spark, d):
-    e = graph.edges(spark, d).where("road_class = 1").groupBy("density").agg(F.sort_array(F.collect_list("edge_id")).alias("ids"))
-    return e.select("density", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("edges"))
+    return sorting.places(graph.edges(spark, d).select(F.col("density").alias("bin"), "edge_id"), [F.col("edge_id")], "bin").select("bin", "edge_id", "place")
 
 
 @query("srt11_alternates_limit", f"{PATH}, q AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY length_m, edge_id) AS r FROM p) SELECT route, edge_id FROM q WHERE r<=3")

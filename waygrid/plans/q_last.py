@@ -140,11 +140,13 @@ def jon27(spark, d):
     return path(spark, d).select("route", "seq", "edge_id").join(c, "edge_id").groupBy("route", "control").agg(F.min("seq").alias("first"))
 
 
-@query("jon31_lane_transitions", f"{GRAPH}, l AS (SELECT edge_id, from_node, to_node, 1+edge_id%3 AS lanes FROM g_edge WHERE road_class=1 AND edge_id%3=0) SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, x.n AS lane FROM l a JOIN l b ON a.to_node=b.from_node, range(1,5) x(n) WHERE x.n <= a.lanes AND x.n <= b.lanes")
+@query("jon31_lane_transitions", f"""{GRAPH}, l AS (SELECT edge_id, opp_edge_id, from_node, row_number() OVER (PARTITION BY from_node ORDER BY edge_id) AS place FROM g_edge), k AS MATERIALIZED (SELECT * FROM l WHERE place <= 8)
+SELECT a.opp_edge_id AS from_edge, b.edge_id AS to_edge, x.n AS lane FROM k a JOIN k b ON a.from_node=b.from_node, range(1,5) x(n) WHERE x.n <= 1+a.opp_edge_id%3 AND x.n <= 1+b.edge_id%3""")
 def jon31(spark, d):
-    lanes = graph.edges(spark, d).where("road_class = 1 and edge_id % 3 = 0").select("edge_id", "from_node", "to_node", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("edge_id") % 3)).alias("lane"))
-    a = lanes.select(F.col("edge_id").alias("from_edge"), F.col("to_node").alias("n"), "lane")
-    return a.join(lanes.select(F.col("edge_id").alias("to_edge"), F.col("from_node").alias("n"), "lane"), ["n", "lane"]).select("from_edge", "to_edge", "lane")
+    """Lanes that go on straight over a node, between the eight edges there whose lanes a node can connect."""
+    e = etl.local_index(graph.edges(spark, d)).where("local < 8")
+    lanes = lambda edge, name: e.select(F.col("from_node").alias("n"), F.col(edge).alias(name), F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col(edge) % 3)).alias("lane"))
+    return lanes("opp_edge_id", "from_edge").join(lanes("edge_id", "to_edge"), ["n", "lane"]).select("from_edge", "to_edge", "lane")
 
 
 @query("agg18_overlay_lower_bound", f"{GRAPH}, s AS (SELECT from_node, way_id%4 AS point, edge_id%50 AS score FROM g_edge), m AS (SELECT from_node, point, min(score) AS least FROM s GROUP BY 1,2) SELECT from_node, CAST(sum(least) AS BIGINT) AS bound FROM m GROUP BY 1")
@@ -275,9 +277,9 @@ def trf08(spark, d):
     return traffic.policy(graph.traffic(spark, d), False).groupBy("kind").agg(F.count(F.lit(1)).alias("updates"))
 
 
-@query("trf21_lane_friction_points", f"{GRAPH}, t AS (SELECT to_node AS node, edge_id%4 AS lane FROM g_edge WHERE road_class=1) SELECT node, lane, count(*) AS sources, 7 AS severity FROM t GROUP BY 1,2 HAVING count(*) > 1")
+@query("trf21_lane_friction_points", f"{GRAPH}, t AS (SELECT to_node AS node, edge_id%4 AS lane FROM g_edge) SELECT node, lane, count(*) AS sources, 7 AS severity FROM t GROUP BY 1,2 HAVING count(*) > 1")
 def trf21(spark, d):
-    t = graph.edges(spark, d).where("road_class = 1").select(F.col("to_node").alias("node"), (F.col("edge_id") % 4).alias("lane"))
+    t = graph.edges(spark, d).select(F.col("to_node").alias("node"), (F.col("edge_id") % 4).alias("lane"))
     return t.groupBy("node", "lane").agg(F.count(F.lit(1)).alias("sources")).where("sources > 1").withColumn("severity", F.lit(7))
 
 

@@ -108,28 +108,31 @@ def src19(spark, d):
     return parts(spark, d).withColumn("raw", raw).select("edge_id", keys.live_speed(r["overall"]).alias("overall"), keys.live_speed(r["speed1"]).alias("speed1"), r["congestion1"].alias("congestion1"))
 
 
-@query("snk04_tileset_checksum", """WITH t AS (SELECT o_custkey % 40 AS tile, md5(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1)
-SELECT tile, CAST(('0x'||substr(h,1,12))::BIGINT AS BIGINT) AS hash48 FROM t""")
+_STAMPS = """t AS (SELECT o_custkey % 40 AS tile, CAST(sum(('0x'||substr(md5(CAST(o_orderkey AS VARCHAR)||'|'||o_orderpriority),1,12))::BIGINT::HUGEINT) % 281474976710656 AS BIGINT) AS hash48 FROM orders GROUP BY 1)"""
+
+
+@query("snk04_tileset_checksum", f"WITH {_STAMPS} SELECT tile, hash48 FROM t")
 def snk04(spark, d):
-    o = graph.table(spark, d, "orders").groupBy((F.col("o_custkey") % 40).alias("tile")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("ids"))
-    return o.select("tile", keys.hash48(F.md5(F.col("ids").cast("binary"))).alias("hash48"))
+    """A checksum for each tile from its rows' own, so that no task needs a whole tile."""
+    from ..operators import etl
 
+    o = graph.table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("tile"), F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("row"))
+    return etl.stamps(o).withColumnRenamed("stamp", "hash48")
 
-@query("agg29_tileset_fold", """WITH t AS (SELECT o_custkey % 40 AS tile, md5(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1),
-s AS (SELECT CAST(sum(('0x'||substr(h,1,12))::BIGINT) AS BIGINT) AS total FROM t)
+
+@query("agg29_tileset_fold", f"""WITH {_STAMPS}, s AS (SELECT CAST(sum(hash48) AS BIGINT) AS total FROM t)
 SELECT total, xor(xor(total & 65535, (total >> 16) & 65535), xor((total >> 32) & 65535, (total >> 48) & 65535)) AS folded FROM s""")
 def agg29(spark, d):
     total = snk04(spark, d).agg(F.sum("hash48").alias("total"))
     return total.select("total", keys.fold16("total").alias("folded"))
 
 
-@query("agg30_output_tree_hash", """WITH f AS (SELECT o_orderkey % 50 AS k, sha256(string_agg(o_orderpriority, '|' ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1)
-SELECT sha256(string_agg(CAST(k AS VARCHAR)||':'||h, chr(10) ORDER BY lpad(CAST(k AS VARCHAR),4,'0'))) AS tree_hash FROM f""")
+@query("agg30_output_tree_hash", f"""WITH {_STAMPS} SELECT sha256(string_agg(lpad(CAST(tile AS VARCHAR),4,'0')||':'||CAST(hash48 AS VARCHAR), chr(10) ORDER BY tile)) AS tree_hash FROM t""")
 def agg30(spark, d):
-    o = graph.table(spark, d, "orders").groupBy((F.col("o_orderkey") % 50).alias("k")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("rows"))
-    files = o.select(F.lpad(F.col("k").cast("string"), 4, "0").alias("name"), F.concat(F.col("k").cast("string"), F.lit(":"), F.sha2(F.array_join(F.col("rows.o_orderpriority"), "|").cast("binary"), 256)).alias("line"))
-    lines = files.agg(F.sort_array(F.collect_list(F.struct("name", "line"))).alias("all"))
-    return lines.select(F.sha2(F.array_join(F.col("all.line"), "\n").cast("binary"), 256).alias("tree_hash"))
+    """One digest of a line for each output file, of which there are few whatever their size."""
+    lines = snk04(spark, d).select("tile", F.concat(F.lpad(F.col("tile").cast("string"), 4, "0"), F.lit(":"), F.col("hash48").cast("string")).alias("line"))
+    every = lines.agg(F.sort_array(F.collect_list(F.struct("tile", "line"))).alias("all"))
+    return every.select(F.sha2(F.array_join(F.col("all.line"), "\n").cast("binary"), 256).alias("tree_hash"))
 
 
 @query("scl06_speed", """SELECT event_id, CASE WHEN event_id%2=0 THEN floor(floor(value)*1.609344e0*1e3+0.5e0)/1e3 ELSE floor(value) END AS kph,
@@ -266,12 +269,10 @@ def scl38(spark, d):
     return graph.table(spark, d, "pages").select("page_id", scalar.without_query("url").alias("url"))
 
 
-@query("scl39_route_identity", f"{GRAPH}, t AS (SELECT from_node, edge_id, row_number() OVER (PARTITION BY from_node ORDER BY edge_id) AS r FROM g_edge) SELECT from_node, 'edges:'||string_agg(lpad(upper(to_hex(edge_id)),16,'0'), ',' ORDER BY edge_id) AS identity FROM t WHERE r<=3 GROUP BY from_node")
+@query("scl39_route_identity", f"{GRAPH} SELECT from_node, 'edges:'||string_agg(lpad(upper(to_hex(edge_id)),16,'0'), ',' ORDER BY edge_id) AS identity FROM g_edge GROUP BY from_node")
 def scl39(spark, d):
-    from pyspark.sql import Window
-
-    e = graph.edges(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("from_node").orderBy("edge_id"))).where("r <= 3")
-    return e.groupBy("from_node").agg(F.sort_array(F.collect_list("edge_id")).alias("ids")).select("from_node", scalar.route_identity(F.col("ids")).alias("identity"))
+    e = graph.edges(spark, d)
+    return e.groupBy("from_node").agg(F.sort_array(F.collect_list("edge_id")).alias("ids")).select("from_node", scalar.route_identity(F.col("ids")).alias("identity"))  # edges of one route
 
 
 @query("scl40_traffic_edge_identity", f"{PARTS} SELECT edge_id, (({ID} & 33554431) | (i << 25)) AS identity FROM p")
