@@ -53,3 +53,20 @@ def test_one_large_bucket_equals_brute_force(spark):
     for n, r in linked(spark, texts, keys).items():
         got.setdefault(r, set()).add(n)
     assert got == {r: c for r, c in want.items() if len(c) > 1}
+
+
+def test_small_and_large_sets_give_the_same(spark, monkeypatch):
+    """Families of changed copies that meet in many overlapping buckets, as sets of one row and as blocks."""
+    rng = random.Random(9)
+    texts, keys = {}, {}
+    for f in range(6):
+        base = [rng.choice("abcdefghijkl") for _ in range(120)]
+        for k in range(25):
+            t = list(base)
+            for _ in range(rng.randrange(9)):
+                t[rng.randrange(120)] = rng.choice("xyz")
+            texts[f * 100 + k] = "".join(t)
+            keys[f * 100 + k] = [f * 10 + b for b in range(4) if rng.random() < 0.7] or [f * 10]
+    small = linked(spark, texts, keys)
+    monkeypatch.setattr(linking, "SET_NODES", 3)
+    assert linked(spark, texts, keys) == small and len(set(small.values())) >= 6

@@ -31,7 +31,7 @@ from .words import mix
 
 _EPS = 1e-9
 #: A set that is decided in one row.
-SET_NODES, SET_BYTES = 64, 4 << 20
+SET_NODES, SET_BYTES = 256, 4 << 20
 #: Nodes of a side that are held against those of another at once.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Bits in which the sketches of two candidates differ at most.
@@ -42,7 +42,7 @@ RANGE_KEYS = 2_000_000
 DIRECT_ROWS = 50_000
 #: Texts whose features are made at once, in bytes.
 FEATURE_BYTES = 1 << 20
-#: Nodes whose components a task remembers.
+#: Nodes whose components, and pairs without a link, that a task remembers.
 REMEMBERED = 500_000
 _LINKS = "x long, y long, s double"
 _ROW = ("nid", "d", "root", "text", "sketch")
@@ -198,8 +198,10 @@ def _set_links(members: DataFrame, texts: DataFrame, features, similarity, thres
     rows = members.join(texts, "nid").repartition("low").groupBy("low", "key").agg(F.collect_list(F.struct("nid", "text", "sketch")).alias("rows")).select("rows")  # SET_NODES, SET_BYTES at most
 
     def run(batches):
-        forest = _Forest()
+        forest, unlike = _Forest(), set()  # a pair meets again in the sets of other bands
         for batch in batches:
+            if len(unlike) > REMEMBERED:
+                unlike.clear()
             lists = batch.column(0)
             flat = lists.flatten()
             ends = np.diff(lists.offsets.to_numpy(zero_copy_only=False)).cumsum().tolist()
@@ -216,7 +218,7 @@ def _set_links(members: DataFrame, texts: DataFrame, features, similarity, thres
                 for i in range(len(nodes)):
                     for j in range(i + 1, len(nodes)):
                         x, y = nodes[i], nodes[j]
-                        if i and x in d and y in d and abs(d[x] - d[y]) > far + _EPS or not _agree(sketch[x], sketch[y]) or forest.top(ids[x]) == forest.top(ids[y]):
+                        if not _agree(sketch[x], sketch[y]) or i and x in d and y in d and abs(d[x] - d[y]) > far + _EPS or forest.top(ids[x]) == forest.top(ids[y]) or (ids[x], ids[y]) in unlike:
                             continue
                         s = similarity(*made[ids[x]], *made[ids[y]])
                         if not i:
@@ -224,6 +226,8 @@ def _set_links(members: DataFrame, texts: DataFrame, features, similarity, thres
                         if s >= threshold - _EPS:
                             forest.join(ids[x], ids[y])
                             out.append((ids[y], ids[x], s))
+                        elif len(nodes) > 2:
+                            unlike.add((ids[x], ids[y]))
             yield _batch(out)
 
     return rows.mapInArrow(run, _LINKS)
