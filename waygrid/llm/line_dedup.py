@@ -281,9 +281,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     wanted = s(members.groupBy(F.col("nid").alias("h1")).agg(F.max("sketch").alias("sketch")), "line-nodes")
     firsts = lines.where("fuzzy").join(small(wanted, wanted.count()), "h1").groupBy(F.col("k.doc_id").alias("d"), F.col("k.th").alias("h")).agg(F.collect_list(F.struct("h1", "sketch", F.col("k.line_no").alias("n"))).alias("takes"))  # lines of one text
     firsts = s(firsts, "line-wanted")
-    taken = plain.join(small(firsts, firsts.select(F.sum(F.size("takes"))).first()[0] or 0), (plain["th"] == firsts["h"]) & plain["doc_id"].eqNullSafe(firsts["d"]))
+    n = firsts.select(F.sum(F.size("takes"))).first()[0] or 0
+    taken = plain.join(small(firsts, n), (plain["th"] == firsts["h"]) & plain["doc_id"].eqNullSafe(firsts["d"]))
     taken = taken.select("takes", F.split("text", "\n", -1).alias("all")).select(F.explode(F.expr("transform(takes, x -> struct(x.h1 as nid, x.sketch as sketch, all[x.n] as text))")).alias("r"))
-    texts = s(taken.select("r.nid", "r.text", "r.sketch").dropDuplicates(["nid"]), "line-texts")  # rows that repeat an id and its text give a line twice
+    texts = s(taken.select("r.nid", "r.text", "r.sketch"), "line-texts")
+    if texts.count() > n:  # rows that repeat an id and its text give a line twice
+        texts = s(texts.dropDuplicates(["nid"]), "line-texts")
     roots = s(link(members, texts, shingle_sets, jaccard, threshold), "line-roots")
 
     near = lines.join(small(roots.select(F.col("nid").alias("h1"), "root", F.lit(True).alias("fuzzy")), roots.count()), ["h1", "fuzzy"], "left")

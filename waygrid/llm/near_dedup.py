@@ -164,9 +164,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = buckets(stage_table(own, "near-bands"), "near")
 
     wanted = stage_table(members.select("nid", "sketch").distinct().join(nodes.select("nid", "doc_id", "th"), "nid"), "near-wanted")
-    some = small(wanted.select("nid", "sketch", F.col("doc_id").alias("d"), F.col("th").alias("h")), wanted.count())
-    texts = plain.join(some, (plain["th"] == some["h"]) & plain["doc_id"].eqNullSafe(some["d"])).select("nid", "text", "sketch").dropDuplicates(["nid"])
-    known = link(members, stage_table(texts, "near-texts"), weighted_sets, probability_jaccard, threshold)
+    n = wanted.count()
+    some = small(wanted.select("nid", "sketch", F.col("doc_id").alias("d"), F.col("th").alias("h")), n)
+    texts = stage_table(plain.join(some, (plain["th"] == some["h"]) & plain["doc_id"].eqNullSafe(some["d"])).select("nid", "text", "sketch"), "near-texts")
+    if texts.count() > n:  # rows that repeat an id and its text
+        texts = stage_table(texts.dropDuplicates(["nid"]), "near-texts")
+    known = link(members, texts, weighted_sets, probability_jaccard, threshold)
     by_node = nodes.select("s1", "s2", "nid").join(known, "nid", "left").select("s1", "s2", F.coalesce("root", "nid").alias("root"))
     each = stage_table(full.select("doc_id", "th", "s1", "s2", "n_words").join(by_node, ["s1", "s2"]).select("doc_id", "th", "n_words", "root"), "near-rows")
     best = each.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
