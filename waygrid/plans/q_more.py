@@ -91,10 +91,12 @@ def jon20(spark, d):
 x AS (SELECT s.node_id AS station, o.node_id AS nearest, row_number() OVER (PARTITION BY s.node_id ORDER BY (s.lat-o.lat)*(s.lat-o.lat)+(s.lon-o.lon)*(s.lon-o.lon), o.node_id) AS r FROM s JOIN o USING (tile)) SELECT station, nearest FROM x WHERE r=1""")
 def jon24(spark, d):
     t = graph.nodes(spark, d).withColumn("tile", F.floor(F.col("lat") / 0.1) * 100_000 + F.floor(F.col("lon") / 0.1))
-    s = t.where("node_id % 7 = 0").select(F.col("node_id").alias("station"), F.col("lat").alias("la"), F.col("lon").alias("lo"), "tile")
-    both = s.join(t.where("node_id % 7 <> 0"), "tile")
+    s = t.where("node_id % 7 = 0").select(F.col("node_id").alias("station"), F.col("lat").alias("la"), F.col("lon").alias("lo"), "tile").distinct()
+    others = t.where("node_id % 7 <> 0").groupBy("tile", "lat", "lon").agg(F.min("node_id").alias("node_id"))  # of nodes at one place the smallest is nearest
+    both = s.select("tile", "la", "lo").distinct().join(others, "tile")
     gap = (F.col("la") - F.col("lat")) * (F.col("la") - F.col("lat")) + (F.col("lo") - F.col("lon")) * (F.col("lo") - F.col("lon"))
-    return both.groupBy("station").agg(F.min_by("node_id", F.struct(gap, "node_id")).alias("nearest"))
+    best = both.groupBy("tile", "la", "lo").agg(F.min_by("node_id", F.struct(gap, "node_id")).alias("nearest"))
+    return s.join(best, ["tile", "la", "lo"]).select("station", "nearest")
 
 
 @query("jon35_integrity", "SELECT 'lineitem' AS file, count(*) AS lost FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
