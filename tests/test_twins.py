@@ -26,6 +26,7 @@ def twins(sf, tmp_path_factory):
 
 NAMES = [
     "jon24_nearest_in_tile",
+    "jon22_snap_to_node",
 ]
 
 
@@ -48,3 +49,10 @@ def test_nearest_in_tile_of_many_nodes_at_one_place(spark, tmp_path):
     began = time.time()
     got = {r.station: r.nearest for r in catalog.QUERIES["jon24_nearest_in_tile"](spark, str(tmp_path)).collect()}
     assert time.time() - began < 60 and len(got) == 17_143 and all(got[k] % 10_000 == k % 10_000 and got[k] < 20_000 for k in got if k < 100_000)
+
+
+def test_snap_of_many_points_to_many_nodes_at_one_place(spark):
+    crowd = spark.range(60_000).selectExpr("id as point_id", "1.0D as lat", "2.0D as lon")
+    began = time.time()
+    got = snap.nearest_nodes(crowd, crowd.withColumnRenamed("point_id", "node_id")).selectExpr("count(*) n", "max(node_id) node", "max(meters) m").first()
+    assert tuple(got) == (60_000, 0, 0.0) and time.time() - began < 60

@@ -21,8 +21,10 @@ def _by_rings(points: DataFrame, cells: DataFrame, distance, id_col: str, extra:
 
     A ring of cells is only searched for points whose best distance so far is more than what the rings before it are sure to cover, so
     each point meets what is near it, never all. Rings end at the cutoff, which takes more of them where meridians are close.
+    Points at one place are searched once.
     """
-    open_points, best, ring = stage(_cell(points, cell), "snap"), None, 0
+    spots = stage(points.groupBy("lat", "lon").agg(F.min("point_id").alias("spot")), "snap-spots")
+    open_points, best, ring = stage(_cell(spots.withColumnRenamed("spot", "point_id"), cell), "snap"), None, 0
     columns = F.greatest(geo.meters_per_degree_lon("lat"), F.lit(geo.METERS_PER_DEGREE_LAT * 0.01))
     while True:
         around = [(i, j) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1) if max(abs(i), abs(j)) == ring]
@@ -35,15 +37,16 @@ def _by_rings(points: DataFrame, cells: DataFrame, distance, id_col: str, extra:
         rest = open_points.join(best.select("point_id", "meters"), "point_id", "left").where((F.col("meters").isNull() | (F.col("meters") > sure * 0.99)) & (sure < cutoff_m)).drop("meters")
         open_points, ring = stage(rest, "snap"), ring + 1
         if open_points.isEmpty():
-            return best.where(F.col("meters") <= cutoff_m)
+            near = best.where(F.col("meters") <= cutoff_m).withColumnRenamed("point_id", "spot")
+            return points.select("point_id", "lat", "lon").join(spots, ["lat", "lon"]).join(near, "spot").select("point_id", id_col, *extra, "meters")
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = CELL, cutoff_m: float = 35_000.0) -> DataFrame:
     """(point_id, node_id, meters): the nearest node of each point, the smallest id of equals; points with none within cutoff_m have no row.
 
-    points: point_id, lat, lon; nodes: node_id, lat, lon.
+    points: point_id, lat, lon; nodes: node_id, lat, lon. Of nodes at one place only the smallest is met.
     """
-    n = _cell(nodes, cell).select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), "r", "k")
+    n = _cell(nodes.groupBy("lat", "lon").agg(F.min("node_id").alias("node_id")), cell).select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), "r", "k")
     return _by_rings(points, n, lambda x: x.withColumn("meters", geo.haversine("lat", "lon", "nlat", "nlon")), "node_id", [], cell, cutoff_m)
 
 
