@@ -27,6 +27,7 @@ def twins(sf, tmp_path_factory):
 NAMES = [
     "jon24_nearest_in_tile",
     "jon22_snap_to_node",
+    "geo11_interpolate",
 ]
 
 
@@ -56,3 +57,10 @@ def test_snap_of_many_points_to_many_nodes_at_one_place(spark):
     began = time.time()
     got = snap.nearest_nodes(crowd, crowd.withColumnRenamed("point_id", "node_id")).selectExpr("count(*) n", "max(node_id) node", "max(meters) m").first()
     assert tuple(got) == (60_000, 0, 0.0) and time.time() - began < 60
+
+
+@pytest.mark.parametrize("name", ["geo11_interpolate", "geo23_self_crossings", "prj14_polyline_round_trip"])
+def test_edges_meet_their_nodes_once(spark, sf, name):
+    """The ends' places come with the edges, and rows are repeated after the work on them."""
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2

@@ -15,10 +15,12 @@ ENDS = f"""{GRAPH}, e AS (SELECT g.*, a.lat AS lat1, a.lon AS lon1, b.lat AS lat
 
 def ends(spark, d):
     """Edges with lat1, lon1, lat2, lon2."""
-    n = graph.nodes(spark, d)
-    a = n.select(F.col("node_id").alias("from_node"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = n.select(F.col("node_id").alias("to_node"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return graph.edges(spark, d).join(a, "from_node").join(b, "to_node")
+    return graph.repeated(different_ends(spark, d))
+
+
+def different_ends(spark, d):
+    """The different rows of ends(), with times: as edges meet each node of their ends' ids once more there."""
+    return graph.different_edges(spark, d).withColumn("times", F.col("times") * F.col("times"))
 
 
 def m(x: str, scale: str = "1e3") -> str:
@@ -85,7 +87,7 @@ w AS (SELECT *, u*cos(a1)*cos(o1)+v*cos(a2)*cos(o2) AS x, u*cos(a1)*sin(o1)+v*co
 SELECT edge_id, {m("CASE WHEN sin(dd)=0 THEN lat1 ELSE degrees(atan2(z, sqrt(x*x+y*y))) END", "1e5")} AS lat, -{m("-(CASE WHEN sin(dd)=0 THEN lon1 ELSE degrees(atan2(y, x)) END)", "1e5")} AS lon FROM w""")
 def geo11(spark, d):
     lat, lon = geo.interpolate("lat1", "lon1", "lat2", "lon2", 0.25)
-    return ends(spark, d).select("edge_id", milli(lat, 1e5).alias("lat"), (-milli(-lon, 1e5)).alias("lon"))
+    return graph.repeated(different_ends(spark, d).select("edge_id", milli(lat, 1e5).alias("lat"), (-milli(-lon, 1e5)).alias("lon"), "times"))
 
 
 @query("geo12_project_on_segment", f"""{ENDS}, p AS (SELECT *, 36.25e0 AS py, -86.75e0 AS px, cos(radians(36.25e0)) AS k FROM e),
