@@ -28,6 +28,7 @@ NAMES = [
     "jon24_nearest_in_tile",
     "jon22_snap_to_node",
     "geo11_interpolate",
+    "geo23_self_crossings",
 ]
 
 

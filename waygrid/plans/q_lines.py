@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import milli
-from .q_geo import ENDS, ends
+from ..operators import graph
+from .q_geo import ENDS, different_ends, ends
 from .registry import query
 
 #: Both segments of every edge; the same points as line() makes.
@@ -48,7 +49,7 @@ def geo23(spark, d):
     p, k = (lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))), F.col("edge_id")
     y1, x1, y2, x2 = (F.col(x) for x in ("lat1", "lon1", "lat2", "lon2"))
     four = F.array(p(y1, x1), p(y2, x2), p(y1 + (k % 7 - 3) / F.lit(10.0), x2), p(y2, x1 + (k % 5 - 2) / F.lit(10.0)))
-    return ends(spark, d).select("edge_id", F.size(geo.crossings(four)).cast("long").alias("crossings"))
+    return graph.repeated(different_ends(spark, d).select("edge_id", F.size(geo.crossings(four)).cast("long").alias("crossings"), "times"))
 
 
 @query("geo35_circle_ring", "WITH p AS (SELECT p_partkey AS id, 36e0+(p_partkey%100)/100e0 AS lat, -87e0 AS lon, 100e0+p_partkey%900 AS r FROM part), k AS (SELECT unnest(range(0, 9)) AS k) SELECT id, CAST(k AS INT) AS k, floor((lat + r/110567e0*cos((k%8)*(2e0*pi()/8e0)))*1e6+0.5e0)/1e6 AS y, -(floor(-(lon + r/110567e0/cos(radians(lat))*sin((k%8)*(2e0*pi()/8e0)))*1e6+0.5e0)/1e6) AS x FROM p, k")
