@@ -29,6 +29,7 @@ NAMES = [
     "jon22_snap_to_node",
     "geo11_interpolate",
     "geo23_self_crossings",
+    "prj14_polyline_round_trip",
 ]
 
 

@@ -228,5 +228,5 @@ def prj14(spark, d):
     from ..functions import shape
 
     p = lambda i: F.struct(F.col(f"lat{i}").alias("lat"), F.col(f"lon{i}").alias("lon"))
-    e = ends(spark, d).select("edge_id", shape.polyline_shape(shape.polyline_text(F.array(p(1), p(2)))).alias("s"))
-    return e.select("edge_id", F.col("s")[0]["lat"].alias("lat"), F.col("s")[1]["lon"].alias("lon"))
+    e = different_ends(spark, d).select("edge_id", "times", shape.polyline_shape(shape.polyline_text(F.array(p(1), p(2)))).alias("s"))
+    return graph.repeated(e.select("edge_id", F.col("s")[0]["lat"].alias("lat"), F.col("s")[1]["lon"].alias("lon"), "times"))
