@@ -35,6 +35,7 @@ NAMES = [
     "agg01_node_density",
     "agg23_shared_length",
     "pth13_differing_segment",
+    "geo05_heading_along",
 ]
 
 

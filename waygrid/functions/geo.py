@@ -256,7 +256,7 @@ def heading_along(line: Column, meters) -> Column:
     def step(a, s):
         size = haversine(s["lat1"], s["lon1"], s["lat2"], s["lon2"])
         t = F.when(size == 0, F.lit(0.0)).otherwise((c(meters) - a["gone"]) / size)
-        here = (t <= 1.0) & a["lat"].isNull()
+        here = (a["gone"] + size >= c(meters)) & a["lat"].isNull()  # not yet on a segment without length
         y, x = s["lat1"] + (s["lat2"] - s["lat1"]) * t, s["lon1"] + (s["lon2"] - s["lon1"]) * t
         return F.struct((a["gone"] + size).alias("gone"), F.when(here, y).otherwise(a["lat"]).alias("lat"), F.when(here, x).otherwise(a["lon"]).alias("lon"))
 

@@ -17,11 +17,15 @@ _H = "2e0*6378160.187e0*asin(sqrt(power(sin(radians({b}-{a})/2e0),2)+cos(radians
 _BEARING = "degrees(atan2(sin(radians(zx-lon1))*cos(radians(zy)), cos(radians(lat1))*sin(radians(zy))-sin(radians(lat1))*cos(radians(zy))*cos(radians(zx-lon1))))"
 
 
-def line(spark, d):
-    e, k = ends(spark, d), F.col("edge_id")
+def different_lines(spark, d):
+    e, k = different_ends(spark, d), F.col("edge_id")
     p = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
     middle = p((F.col("lat1") + F.col("lat2")) / 2.0 + (k % 21 - 10) / F.lit(100.0), (F.col("lon1") + F.col("lon2")) / 2.0 + (k % 17 - 8) / F.lit(100.0))
-    return e.select("edge_id", F.array(p(F.col("lat1"), F.col("lon1")), middle, p(F.col("lat2"), F.col("lon2"))).alias("line"))
+    return e.select("edge_id", F.array(p(F.col("lat1"), F.col("lon1")), middle, p(F.col("lat2"), F.col("lon2"))).alias("line"), "times")
+
+
+def line(spark, d):
+    return graph.repeated(different_lines(spark, d))
 
 
 @query("geo13_closest_on_line", f"""{BENT}, q AS (SELECT *, (zx-ax)*cos(radians(36.25e0)) AS bx, zy-ay AS dy FROM s),
@@ -38,7 +42,7 @@ p AS (SELECT edge_id, lat1, lon1, CASE WHEN m1>=30000e0 THEN lat1+(lat3-lat1)*(3
   CASE WHEN m1>=30000e0 THEN lon1+(lon3-lon1)*(30000e0/m1) WHEN m1+m2>=30000e0 THEN lon3+(lon2-lon3)*((30000e0-m1)/m2) ELSE lon2 END AS zx FROM h)
 SELECT edge_id, floor((CASE WHEN {_BEARING} < 0 THEN {_BEARING}+360e0 ELSE {_BEARING} END)*1e3+0.5e0)/1e3 AS heading FROM p""")
 def geo05(spark, d):
-    return line(spark, d).select("edge_id", milli(geo.heading_along(F.col("line"), F.lit(30_000.0)), 1e3).alias("heading"))
+    return graph.repeated(different_lines(spark, d).select("edge_id", milli(geo.heading_along(F.col("line"), F.lit(30_000.0)), 1e3).alias("heading"), "times"))
 
 
 @query("geo23_self_crossings", f"""{ENDS}, l AS (SELECT edge_id, lat1 AS y1, lon1 AS x1, lat2 AS y2, lon2 AS x2, lat1+(edge_id%7-3)/10e0 AS y3, lon2 AS x3, lat2 AS y4, lon1+(edge_id%5-2)/10e0 AS x4 FROM e),
