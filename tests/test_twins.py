@@ -37,6 +37,7 @@ NAMES = [
     "pth13_differing_segment",
     "geo05_heading_along",
     "jon09_predicted_speed",
+    "jon18_restriction_markers",
 ]
 
 

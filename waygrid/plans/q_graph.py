@@ -63,7 +63,7 @@ def jon15(spark, d):
 
 @query("jon18_restriction_markers", f"{GRAPH}, r AS (SELECT edge_id AS a, opp_edge_id AS b FROM g_edge WHERE edge_id%50=0) SELECT e.edge_id, coalesce(bit_or(m.k), 0) AS marks FROM g_edge e LEFT JOIN (SELECT a AS edge_id, 1 AS k FROM r UNION ALL SELECT b, 2 FROM r) m USING (edge_id) GROUP BY 1")
 def jon18(spark, d):
-    e = graph.edges(spark, d).select("edge_id", "opp_edge_id")
+    e = graph.different_edges(spark, d).select("edge_id", "opp_edge_id")
     r = e.where("edge_id % 50 = 0")
     m = r.select("edge_id", F.lit(1).alias("k")).unionAll(r.select("opp_edge_id", F.lit(2))).groupBy("edge_id").agg(F.bit_or("k").alias("marks"))
     return e.select("edge_id").join(m, "edge_id", "left").select("edge_id", F.coalesce("marks", F.lit(0)).alias("marks"))
