@@ -40,6 +40,7 @@ NAMES = [
     "jon18_restriction_markers",
     "ops06_semantic_differential",
     "trf18_control_index",
+    "geo13_closest_on_line",
 ]
 
 

@@ -34,7 +34,7 @@ r AS (SELECT edge_id, i, power((ay+(zy-ay)*t-36.25e0)*110567e0, 2)+power((ax+(zx
 SELECT edge_id, CAST(min_by(i, d2) AS BIGINT) AS segment, floor(sqrt(min(d2))*1e2+0.5e0)/1e2 AS meters FROM r GROUP BY 1""")
 def geo13(spark, d):
     at = geo.closest_on_line(F.lit(36.25), F.lit(-86.75), F.col("line"))
-    return line(spark, d).select("edge_id", at.alias("p")).select("edge_id", F.col("p.i").cast("long").alias("segment"), milli(F.sqrt("p.d2"), 1e2).alias("meters"))
+    return different_lines(spark, d).select("edge_id", at.alias("p")).select("edge_id", F.col("p.i").cast("long").alias("segment"), milli(F.sqrt("p.d2"), 1e2).alias("meters"))
 
 
 @query("geo05_heading_along", f"""{BENT}, h AS (SELECT *, {_H.format(a='lat1', b='lat3', c='lon1', d='lon3')} AS m1, {_H.format(a='lat3', b='lat2', c='lon3', d='lon2')} AS m2 FROM l),
