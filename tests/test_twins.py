@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from test_queries import plain
 
-from waygrid.operators import snap
+from waygrid.operators import search, snap
 from waygrid.plans import catalog
 
 
@@ -41,6 +41,7 @@ NAMES = [
     "ops06_semantic_differential",
     "trf18_control_index",
     "geo13_closest_on_line",
+    "pth04_cheapest_path",
 ]
 
 
@@ -72,6 +73,17 @@ def test_snap_of_many_points_to_many_nodes_at_one_place(spark):
     assert tuple(got) == (60_000, 0, 0.0) and time.time() - began < 60
 
 
+def test_a_search_keeps_its_edges_and_shares_rows_among_roots(spark, monkeypatch):
+    """40 roots, more than a row holds, on a ring of 40 nodes with edges that cost nothing."""
+    names, stage = [], search.stage
+    monkeypatch.setattr(search, "stage", lambda df, name: (names.append(name), stage(df, name))[1])
+    rows = [(2 * k + d, 2 * k + 1 - d, (k + d) % 40, (k + 1 - d) % 40, k % 2) for k in range(40) for d in (0, 1)]
+    edges = spark.createDataFrame(rows, "edge_id long, opp_edge_id long, from_node long, to_node long, cost long")
+    q = spark.createDataFrame([(k, k, (k + 4) % 40) for k in range(40)], "query_id long, origin long, destination long")
+    got = {r.query_id: (r.cost, len(r.path)) for r in search.cheapest_paths(q, edges).collect()}
+    assert got == {k: (2, 4) for k in range(40)} and names.count("tree-edges") == 1
+
+
 @pytest.mark.parametrize("name", ["geo11_interpolate", "geo23_self_crossings", "prj14_polyline_round_trip"])
 def test_edges_meet_their_nodes_once(spark, sf, name):
     """The ends' places come with the edges, and rows are repeated after the work on them."""

@@ -4,7 +4,7 @@ Without turn costs a U-turn never pays, so labels are of nodes: one tree of chea
 different destination if these are fewer, answers all queries that share it. A label has its cost and its last edge; ways are put
 together afterwards, an edge for each join. With turn costs labels are of edges and each query has its own.
 
-A round expands the labels that the last one improved; labels that cost no less than the dearest answer of their tree are dropped.
+A round expands the labels that the last one improved, those of several trees at a node together; labels that cost no less than the dearest answer of their tree are dropped.
 All trees advance together; the driver only asks whether labels are left. The loop ends by itself, as a label only gets cheaper;
 nothing bounds the length of a way.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import c
+from .sorting import places
 from .storage import drop, stage
 
 
@@ -28,31 +29,64 @@ def _best(labels: DataFrame) -> DataFrame:
     return labels.groupBy("query_id", "edge_id").agg(F.min_by(F.struct("destination", "to_node", "cost", "path"), F.struct("cost", "path")).alias("b")).select("query_id", "edge_id", "b.destination", "b.to_node", "b.cost", "b.path")
 
 
-def trees(roots: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+#: Roots whose labels of a node share a row.
+WIDTH = 16
+
+
+def trees(roots: DataFrame, edges: DataFrame, targets: DataFrame, ways: bool = True) -> DataFrame:
     """(root, node, cost, edge_id, prev): the cheapest way from each root to the nodes around it, its last edge and the node before.
 
     roots: root; edges: edge_id, from_node, to_node, cost (not negative); targets: (root, node), all of which have their cheapest
-    way in the result if they can be reached. Of last edges of equal cost the least counts.
+    way in the result if they can be reached. Of last edges of equal cost the least counts. Without ways: (root, node, cost) alone.
+
+    The labels of up to WIDTH roots at a node are one row, so that a round meets an edge once for all of them. The last edges are found
+    when all costs are: those over which the cost is reached from a cheaper node, or one as cheap that was reached in an earlier round.
     """
     kind = edges.schema["cost"].dataType
-    none = F.lit(None).cast("long")
-    known = stage(roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).cast(kind).alias("cost"), none.alias("edge_id"), none.alias("prev")), "tree")
-    step = edges.select(F.col("from_node").alias("node"), "edge_id", F.col("to_node").alias("end"), F.col("cost").alias("more"))
-    wanted = stage(targets.select("root", "node").distinct(), "tree-targets")
-    total = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    frontier = known
-    while True:
-        met = wanted.join(known, ["root", "node"]).groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.max("cost").alias("bound"))
-        done = total.join(met, "root").where("m = n").select("root", "bound")
-        live = frontier.join(done, "root", "left").where("bound is null or cost < bound").select("root", "node", "cost")
-        grown = live.join(step, "node").groupBy("root", F.col("end").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), "edge_id", F.col("node").alias("prev"))).alias("b"))
-        old = known.select("root", "node", F.col("cost").alias("old"))
-        last, frontier = frontier, stage(grown.select("root", "node", "b.cost", "b.edge_id", "b.prev").join(old, ["root", "node"], "left").where("old is null or cost < old").drop("old"), "tree-frontier")
-        if frontier.isEmpty():
-            return known
-        before, known = known, stage(known.join(frontier.select("root", "node"), ["root", "node"], "left_anti").unionByName(frontier), "tree")
+    slots = places(roots.select("root").distinct(), [F.col("root")], name="at").select("root", F.floor((F.col("at") - 1) / WIDTH).alias("block"), ((F.col("at") - 1) % WIDTH).cast("int").alias("slot"))
+    slots = stage(slots, "tree-roots")
+    width = (slots.agg(F.max("slot")).first()[0] or 0) + 1
+    each = range(width)
+    cost, round_ = [f"c{i}" for i in each], [f"r{i}" for i in each]
+    net = stage(edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("end"), F.col("cost").alias("more"), *(["edge_id"] if ways else [])), "tree-edges")
+    wanted = targets.select("root", "node").join(slots, "root").groupBy("block", "node").agg(*[F.bool_or(F.col("slot") == i).alias(f"w{i}") for i in each])
+    wanted = stage(wanted, "tree-targets")
+    total = stage(wanted.groupBy("block").agg(*[F.count_if(f"w{i}").alias(f"n{i}") for i in each]), "tree-counts")
+    first = slots.groupBy("block", F.col("root").alias("node")).agg(*[F.max(F.when(F.col("slot") == i, F.lit(0).cast(kind))).alias(f"c{i}") for i in each])
+    frontier, known, n = stage(first, "tree-frontier"), None, 0
+    while not frontier.isEmpty():
+        before = known
+        fresh = frontier.select("block", "node", *cost, *[F.when(F.col(f"c{i}").isNotNull(), F.lit(n)).alias(f"r{i}") for i in each])
+        if known is not None:
+            later = frontier.select("block", "node", *[F.col(x).alias(f"new_{x}") for x in cost])
+            fresh = known.join(later, ["block", "node"], "full_outer").select("block", "node", *[F.coalesce(f"new_c{i}", f"c{i}").alias(f"c{i}") for i in each], *[F.when(F.col(f"new_c{i}").isNotNull(), F.lit(n)).otherwise(F.col(f"r{i}")).alias(f"r{i}") for i in each])
+        known, n = stage(fresh, "tree"), n + 1
+        met = wanted.join(known, ["block", "node"]).groupBy("block").agg(*[F.count(F.when(F.col(f"w{i}"), F.col(f"c{i}"))).alias(f"m{i}") for i in each], *[F.max(F.when(F.col(f"w{i}"), F.col(f"c{i}"))).alias(f"b{i}") for i in each])
+        bounds = total.join(met, "block").select("block", *[F.when(F.col(f"m{i}") == F.col(f"n{i}"), F.col(f"b{i}")).alias(f"b{i}") for i in each])
+        live = frontier.join(bounds, "block", "left").select("block", "node", *[F.when(F.col(f"b{i}").isNull() | (F.col(f"c{i}") < F.col(f"b{i}")), F.col(f"c{i}")).alias(f"c{i}") for i in each])
+        live = live.where(F.coalesce(*cost).isNotNull())
+        grown = live.hint("shuffle_hash").join(net, "node").groupBy("block", F.col("end").alias("node")).agg(*[F.min(F.col(x) + F.col("more")).alias(f"new_{x}") for x in cost])
+        old = known.select("block", "node", *cost)
+        better = grown.join(old, ["block", "node"], "left").select("block", "node", *[F.when(F.col(x).isNull() | (F.col(f"new_{x}") < F.col(x)), F.col(f"new_{x}")).alias(x) for x in cost])
+        last, frontier = frontier, stage(better.where(F.coalesce(*cost).isNotNull()), "tree-frontier")
         drop(last)
-        drop(before)
+        if before is not None:
+            drop(before)
+    if known is None:
+        known = stage(first.select("*", *[F.lit(0).alias(x) for x in round_]), "tree")
+    labels = lambda rows, one: rows.withColumn("l", F.explode(F.filter(F.array(*map(one, each)), lambda x: x["cost"].isNotNull()))).join(slots, [F.col("l.slot") == slots["slot"], rows["block"] == slots["block"]])
+    costs = labels(known, lambda i: F.struct(F.lit(i).alias("slot"), F.col(f"c{i}").alias("cost"))).select("root", "node", "l.cost")
+    if not ways:
+        return costs
+    ends = known.select("block", F.col("node").alias("end"), *[F.col(x).alias(f"end_{x}") for x in (*cost, *round_)])
+    over = known.hint("shuffle_hash").join(net, "node").join(ends, ["block", "end"])
+
+    def last_edge(i):
+        reached = (F.col(f"c{i}") + F.col("more") == F.col(f"end_c{i}")) & ((F.col(f"c{i}") < F.col(f"end_c{i}")) | (F.col(f"r{i}") < F.col(f"end_r{i}")))
+        return F.struct(F.lit(i).alias("slot"), F.when(reached, F.col(f"end_c{i}")).alias("cost"))
+
+    found = labels(over, last_edge).groupBy("root", F.col("end").alias("node")).agg(F.min(F.struct("edge_id", F.col("node").alias("prev"))).alias("b"))
+    return stage(costs.join(found.select("root", "node", "b.edge_id", "b.prev"), ["root", "node"], "left"), "tree-ways")
 
 
 def turned_round(edges: DataFrame) -> DataFrame:
@@ -60,7 +94,7 @@ def turned_round(edges: DataFrame) -> DataFrame:
     return edges.select(*[F.col({"from_node": "to_node", "to_node": "from_node"}.get(x, x)).alias(x) for x in edges.columns])
 
 
-def _answers(queries: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+def _answers(queries: DataFrame, edges: DataFrame, ways: bool) -> tuple[DataFrame, DataFrame, bool]:
     """The trees of all queries; (query_id, root, node, cost) of those that can be answered; whether roots are the destinations."""
     n = queries.agg(F.count_distinct("origin"), F.count_distinct("destination")).first()
     back = n[1] < n[0]
@@ -68,13 +102,13 @@ def _answers(queries: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     if back:
         edges = turned_round(edges)
     q = queries.select("query_id", F.col(root).alias("root"), F.col(node).alias("node"))
-    tree = trees(q, edges, q)
+    tree = trees(q, edges, q, ways)
     return tree, q.join(tree.select("root", "node", "cost"), ["root", "node"]), back
 
 
 def cheapest_costs(queries: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, cost) for every query that can be answered, as cheapest_paths()."""
-    return _answers(queries, edges)[1].select("query_id", "cost")
+    return _answers(queries, edges, False)[1].select("query_id", "cost")
 
 
 def cheapest_paths(queries: DataFrame, edges: DataFrame, turn: DataFrame | None = None, u_turns: bool = False) -> DataFrame:
@@ -85,7 +119,7 @@ def cheapest_paths(queries: DataFrame, edges: DataFrame, turn: DataFrame | None
     """
     if turn is not None:
         return turned_paths(queries, edges, turn, u_turns)
-    tree, found, back = _answers(queries, edges)
+    tree, found, back = _answers(queries, edges, True)
     walk = stage(found.select("query_id", "root", F.col("node").alias("at"), "cost", F.array().cast("array<bigint>").alias("path")), "walk")
     step, ended = tree.where("edge_id is not null").select("root", F.col("node").alias("at"), "edge_id", "prev"), None
     while True:
