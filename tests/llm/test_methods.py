@@ -225,3 +225,42 @@ def test_line_signatures_agree_as_often_as_the_lines_are_similar():
                 total += 1
                 hits += bool(keys[0] & keys[1])
     assert total > 100 and hits >= 0.98 * total
+
+
+def plain_bins(line, m):
+    """One-permutation MinHash of one line, and its empty bins filled one by one."""
+    h = line_dedup.window_hashes(np.array([ord(c) for c in line], np.uint32))
+    z = {}
+    for x in map(int, h):
+        at, value = (x >> 16) * m >> 16, (x << 16 | x >> 16) & 0x7FFFFFFF
+        z[at] = min(z.get(at, value), value)
+    out = []
+    for b in range(m):
+        at, t = b, 0
+        while at not in z:
+            t += 1
+            at = (int(line_dedup.mix(np.array([b], np.uint64) * line_dedup._P + np.uint64(t))[0]) >> 32) * m >> 32
+        out.append(z[at])
+    return out
+
+
+def test_band_keys_of_lines_are_those_of_each_line_alone():
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdefghijklmnop ", k=n)) for n in (1, 3, 5, 12, 29, 33, 45, 90, 400, 5, 33)]
+    _, _, keys, count, _, sketched = line_dedup.signed(lines)
+    assert count.tolist() == [16, 16, 16, 16, 32, 32, 16, 16, 16, 16, 32] and sketched.tolist() == [len(x) >= 90 for x in lines]
+    at = np.cumsum(count) - count
+    for k, x in enumerate(lines):
+        if len(x) > 28:
+            want = line_dedup.band_keys(np.array([plain_bins(x, 80)], np.uint32), 16, 5)[0]
+            assert keys[at[k] : at[k] + 16].tolist() == want.tolist()
+        alone = line_dedup.signed([x])
+        assert alone[2].tolist() == keys[at[k] : at[k] + count[k]].tolist()
+
+
+def test_short_lines_cost_no_filling_of_bins(monkeypatch):
+    """Hashes made for lines of a few shingles: one for each place and shingle, and those of the keys."""
+    lines, made, mix = [f"{k:03x}" for k in range(2000)], [], line_dedup.mix
+    monkeypatch.setattr(line_dedup, "mix", lambda x: made.append(np.size(x)) or mix(x))
+    line_dedup.signed(lines)
+    assert sum(made) < 200 * len(lines)

@@ -33,9 +33,13 @@ SKETCH_BINS = 48
 SEEN = 200_000
 #: Characters handled at once: their arrays stay in the cache.
 CHUNK_CHARS = 1 << 18
+#: Hashes of independent places made at once.
+PLACE_HASHES = 1 << 15
 _U = np.uint64
 #: Fills up lines of fewer characters than a shingle; no character.
 _PAD = "\U0010ffff"
+#: In a bin without a shingle.
+_NONE = np.uint32(0xFFFFFFFF)
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -111,35 +115,54 @@ def window_hashes(codes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return h
 
 
+_SOURCES: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _sources(m: int, t: int) -> np.ndarray:
+    """The bin that each of m empty bins copies from at its attempt t."""
+    if (m, t) not in _SOURCES:
+        b = np.arange(m, dtype=_U)
+        _SOURCES[m, t] = (((mix(b * _P + _U(t)) >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
+    return _SOURCES[m, t]
+
+
 def signatures(line: np.ndarray, h: np.ndarray, inside: np.ndarray, n_lines: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """One-permutation MinHash [n_lines, m], bins without a shingle filled from others, and how many bins had one.
+    """One-permutation MinHash [n_lines, m], and how many bins have a shingle; the others have _NONE.
 
     The upper half of a hash picks the bin, its rotation is the value. Hashes that are not inside a line do not count.
     """
-    none = np.uint32(0xFFFFFFFF)
-    z = np.full(n_lines * m, none, dtype=np.uint32)
+    z = np.full(n_lines * m, _NONE, dtype=np.uint32)
     at = line * m
     at += ((h >> np.uint32(16)) * np.uint32(m)) >> np.uint32(16)
     value = (h << np.uint32(16) | h >> np.uint32(16)) & np.uint32(0x7FFFFFFF)
-    value[~inside] = none
+    value[~inside] = _NONE
     np.minimum.at(z, at, value)
-    filled = (z.reshape(n_lines, m) != none).sum(axis=1)
-    empty, t, full = np.flatnonzero(z == none), 0, z.copy()
-    while len(empty):
+    z = z.reshape(n_lines, m)
+    return z, (z != _NONE).sum(axis=1)
+
+
+def densified(z: np.ndarray) -> np.ndarray:
+    """Signatures with the bins without a shingle filled from others. Each has a bin with one; the fewer it has, the longer this takes."""
+    m = z.shape[1]
+    start, place = np.nonzero(z == _NONE)
+    start *= m
+    full, z, t = z.ravel().copy(), z.ravel(), 0
+    while len(place):
         t += 1
-        b = (empty % m).astype(_U)
-        source = empty // m * m + (((mix(b * _P + _U(t)) >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
-        full[empty] = z[source]
-        empty = empty[full[empty] == none]
-    return full.reshape(n_lines, m), filled
+        v = z[start + _sources(m, t)[place]]
+        full[start + place] = v
+        left = v == _NONE
+        start, place = start[left], place[left]
+    return full.reshape(-1, m)
 
 
 def independent_signatures(line: np.ndarray, h: np.ndarray, n_lines: int, m: int) -> np.ndarray:
     """MinHash [n_lines, m] with a hash function for each place. line: in order, every line has a shingle."""
     first = np.searchsorted(line, np.arange(n_lines))
     out, seeds, h = np.empty((n_lines, m), np.uint32), np.arange(1, m + 1, dtype=_U) * _P, h.astype(_U)
-    for j in range(m):
-        out[:, j] = np.minimum.reduceat((mix(h ^ seeds[j]) >> _U(32)).astype(np.uint32), first)
+    step = max(1, PLACE_HASHES // max(1, len(h)))
+    for j in range(0, m, step):
+        out[:, j : j + step] = np.minimum.reduceat((mix(h ^ seeds[j : j + step, None]) >> _U(32)).astype(np.uint32), first, axis=1).T
     return out
 
 
@@ -168,19 +191,20 @@ def signed(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> tuple[np.n
         inside[ends[1:-1] - k] = False
     h2 = np.add.reduceat(np.where(inside, h, np.uint32(0)), ends[:-1], dtype=_U)
     z, filled = signatures(line, h, inside, n, bands * rows)
-    sketch, sketched = sketches(z), filled >= SKETCH_BINS
     few = filled < HASHES_BELOW  # only these can have so few shingles
     distinct = np.full(n, HASHES_BELOW)
     if few.any():
         own = few[line] & inside
-        order = np.lexsort((h[own], line[own]))
-        at, v = line[own][order], h[own][order]
-        distinct[few] = np.bincount(at[np.append(True, (at[1:] != at[:-1]) | (v[1:] != v[:-1]))], minlength=n)[few]
+        v = line[own].astype(_U) << _U(32) | h[own]
+        v.sort()
+        distinct[few] = np.bincount((v[np.append(True, v[1:] != v[:-1])] >> _U(32)).astype(np.int64), minlength=n)[few]
     binned, hashed = distinct >= BINS_FROM, distinct < HASHES_BELOW
+    z, sketch = densified(z[binned]), np.zeros(n, np.int64)
+    sketch[binned], sketched = sketches(z), filled >= SKETCH_BINS  # which are binned
     count = (binned.astype(np.int64) + hashed) * bands
     out = np.empty(int(count.sum()), np.uint64)
     at = np.cumsum(count) - count
-    out[(at[binned, None] + np.arange(bands)).ravel()] = band_keys(z[binned], bands, rows).ravel()
+    out[(at[binned, None] + np.arange(bands)).ravel()] = band_keys(z, bands, rows).ravel()
     if hashed.any():
         own = hashed[line] & inside
         z = independent_signatures((np.cumsum(hashed) - 1)[line[own]], h[own], int(hashed.sum()), bands * rows)
@@ -195,8 +219,13 @@ def shingle_sets(texts: list[str]) -> list[tuple[np.ndarray]]:
     if not full:
         return [(np.zeros(0, _U),) for _ in texts]
     line, h = shingle_hashes(*_codes(full))
-    cut = np.searchsorted(line, np.arange(len(full) + 1)).tolist()
-    sets = iter([np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+    cut = np.searchsorted(line, np.arange(len(full) + 1))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        h[a:b].sort()
+    other = np.append(True, h[1:] != h[:-1])
+    other[cut[:-1]] = True
+    ends, h = np.append(0, np.cumsum(other))[cut].tolist(), h[other]
+    sets = iter([h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
     return [(next(sets) if t else np.zeros(0, _U),) for t in texts]
 
 
@@ -209,7 +238,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
         return 0.0
     if len(a) > len(b):
         a, b = b, a
-    both = int((b[np.minimum(b.searchsorted(a), len(b) - 1)] == a).sum())
+    both = int(np.count_nonzero(b.take(b.searchsorted(a), mode="clip") == a))
     return both / (len(a) + len(b) - both)
 
 
@@ -235,26 +264,30 @@ def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
         nothing = (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, bool), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         for b in batches:
-            texts, at, numbers, size, parts = [], [], [], 0, []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                for n, x in enumerate(normalised_lines(t)):
-                    if x:
-                        texts.append(x)
-                        at.append(k)
-                        numbers.append(n)
-                        size += len(x)
-                        if size > CHUNK_CHARS:
-                            parts.append(made(texts))
-                            texts, size = [], 0
+            texts, own, numbers, size, parts = [], [0], [], 0, []
+            for t in b.column(1).to_pylist():
+                full = normalised_lines(t)
+                if "" in full:
+                    numbers += [n for n, x in enumerate(full) if x]
+                    full = [x for x in full if x]
+                else:
+                    numbers += range(len(full))
+                own.append(len(full))
+                for part in [full] if len(t) <= CHUNK_CHARS else ([x] for x in full):
+                    texts += part
+                    size += sum(map(len, part))
+                    if size > CHUNK_CHARS:
+                        parts.append(made(texts))
+                        texts, size = [], 0
             if texts:
                 parts.append(made(texts))
             h1, h2, new, keys, count, sketch, sketched = (np.concatenate(x) for x in zip(*(parts or [nothing]), strict=True))
-            at = np.array(at, np.int64)
-            ends = pa.array(np.searchsorted(at, np.arange(b.num_rows + 1)), pa.int32())
+            ends = np.cumsum(own)
+            fresh_ends = pa.array(np.append(0, np.cumsum(new))[ends], pa.int32())
+            ends = pa.array(ends, pa.int32())
             lines = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], fields=list(line_type))
-            own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(keys.view(np.int64)))
-            fresh = pa.StructArray.from_arrays([pa.array(h1[new].view(np.int64)), pa.array(sketch, pa.int64(), mask=~sketched), own], names=["h1", "sketch", "bands"])
-            fresh_ends = pa.array(np.searchsorted(at[new], np.arange(b.num_rows + 1)), pa.int32())
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(keys.view(np.int64)))
+            fresh = pa.StructArray.from_arrays([pa.array(h1[new].view(np.int64)), pa.array(sketch, pa.int64(), mask=~sketched), listed], names=["h1", "sketch", "bands"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(ends, lines), pa.ListArray.from_arrays(fresh_ends, fresh)], names=["doc_id", "th", "lines", "fresh"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, th long, lines array<struct<line_no:int,h1:long,h2:long>>, fresh array<struct<h1:long,sketch:long,bands:array<long>>>")

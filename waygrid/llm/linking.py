@@ -211,23 +211,29 @@ def _set_links(members: DataFrame, texts: DataFrame, features, similarity, thres
             made = _features_of(flat.field(1), need, features)
             out = []
             for own in sets:
-                nodes = [k for _, k in sorted((ids[k], k) for k in own)]
-                if len({forest.top(ids[k]) for k in nodes}) < 2:
+                nodes = sorted((ids[k], k) for k in own)
+                tops = [forest.top(x) for x, _ in nodes]
+                if len(set(tops)) < 2:
                     continue
-                d: dict[int, float] = {}
-                for i in range(len(nodes)):
+                d: list[float | None] = [None] * len(nodes)
+                bits = [sketch[k] for _, k in nodes]
+                for i, (x, _) in enumerate(nodes):
                     for j in range(i + 1, len(nodes)):
-                        x, y = nodes[i], nodes[j]
-                        if not _agree(sketch[x], sketch[y]) or i and x in d and y in d and abs(d[x] - d[y]) > far + _EPS or forest.top(ids[x]) == forest.top(ids[y]) or (ids[x], ids[y]) in unlike:
+                        if tops[i] == tops[j] or not _agree(bits[i], bits[j]) or i and d[i] is not None and d[j] is not None and abs(d[i] - d[j]) > far + _EPS:
                             continue
-                        s = similarity(*made[ids[x]], *made[ids[y]])
+                        y = nodes[j][0]
+                        if (x, y) in unlike:
+                            continue
+                        s = similarity(*made[x], *made[y])
                         if not i:
-                            d[y] = 1 - s
+                            d[j] = 1 - s
                         if s >= threshold - _EPS:
-                            forest.join(ids[x], ids[y])
-                            out.append((ids[y], ids[x], s))
+                            forest.join(x, y)
+                            was, top = tops[i], tops[j]
+                            tops = [top if t == was else t for t in tops]
+                            out.append((y, x, s))
                         elif len(nodes) > 2:
-                            unlike.add((ids[x], ids[y]))
+                            unlike.add((x, y))
             yield _batch(out)
 
     return rows.mapInArrow(run, _LINKS)
